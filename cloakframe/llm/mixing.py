@@ -113,10 +113,9 @@ def _taken(q: DataFrame, beyond, copies: int) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), copies: int = COPIES) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows that repeat a doc_id count as one document's copies."""
-    one = docs.dropDuplicates(["doc_id"])
-    n = mix(one, weights, copies).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    out = one.join(n, F.expr("doc_id <=> _id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    """The rows of docs, each as often as the mix takes it. Rows that repeat a doc_id are all taken as often as one of them."""
+    n = mix(docs, weights, copies).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    out = docs.join(n, F.expr("doc_id <=> _id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
     return out.select(*docs.columns)
 
 

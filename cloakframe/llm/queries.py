@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, language_model, line_dedup, media, mixing, packing, quality, suffix_dedup
+from . import jaccard_join, language_id, language_model, license_scan, line_dedup, media, mixing, packing, quality, suffix_dedup
 from .common import documents
 
 
+def op1_license_scan(spark, sf_dir):
+    files = documents(spark, sf_dir).withColumn("path", license_scan.path_of())
+    return license_scan.scan(files)
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.ngram_jaccard_components(documents(spark, sf_dir))
 
@@ -42,5 +47,5 @@ def op10_language_id(spark, sf_dir):
     return language_id.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_media_columns, op4_line_dedup, op5_suffix_array_dedup, op6_packing, op7_language_model, op8_mixing, op9_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard_join, op3_media_columns, op4_line_dedup, op5_suffix_array_dedup, op6_packing, op7_language_model, op8_mixing, op9_quality_rules, op10_language_id)}
 ORACLE = {"op8_mixing": mixing.ORACLE}
