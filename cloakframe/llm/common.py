@@ -24,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def tidy(spark: SparkSession) -> None:
+    """A finished step's shuffle files go at once: what later steps need is in the shared folder."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
@@ -32,6 +37,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it back. The files stay until the
     application's folder is removed."""
     spark = df.sparkSession
+    tidy(spark)
     path = table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -44,6 +50,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches by rows are unbounded in bytes; long texts need fewer rows in each."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    tidy(spark)
 
 
 def text_bytes(docs: DataFrame) -> int:
