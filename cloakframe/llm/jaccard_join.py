@@ -20,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, blocks_for, components, in_blocks, mix, prefix_hashes, small_batches, span_hashes, stored, text_bytes, texts_of, words_of
@@ -170,30 +170,51 @@ def _pivots(sets: DataFrame, fragments: int) -> list[int]:
     return sorted({x for x in found or () if x is not None})
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, pivots: list[int], percent: int) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * intersection >= percent * union. Each fragment counts its part alone."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those with 100 * intersection >= percent * union. Each fragment counts its part alone; a pair is
+    the sum of its fragments' counts."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("fragments").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("fragments").alias("y"))
+    partial = F.zip_with("x", "y", lambda p, q: F.size(F.array_intersect(p, q)))
+    # Exploding an array of one keeps the optimiser from counting again in each place that uses the sum.
+    common = F.explode(F.array(F.aggregate(partial, F.lit(0), lambda t, k: t + k).cast("long"))).alias("common")
+    counted = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common)
+    return counted.where(F.expr(f"100 * common >= {int(percent)} * (na + nb - common)")).select("a", "b")
+
+
+def _fragmented(sets: DataFrame, pivots: list[int]) -> DataFrame:
+    """sets with their tokens cut at the pivots of the global order."""
     cuts = [None, *pivots, None]
     parts = []
     for lo, hi in zip(cuts, cuts[1:]):
         inside = lambda t, lo=lo, hi=hi: (F.lit(True) if lo is None else t >= F.lit(lo)) & (F.lit(True) if hi is None else t < F.lit(hi))
         parts.append(F.filter("tokens", _closed(inside)))
-    cut = sets.select("doc_id", "n", F.posexplode(F.array(*parts)).alias("fragment", "part")).where(F.size("part") > 0)
-    left = cut.select(F.col("doc_id").alias("a"), "fragment", F.col("part").alias("x"))
-    right = cut.select(F.col("doc_id").alias("b"), "fragment", F.col("part").alias("y"))
-    partial = (
-        pairs.join(left, "a").join(right, ["b", "fragment"])
-        .select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
-    )
-    return (
-        partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-        .where(F.expr(f"100 * common >= {int(percent)} * (na + nb - common)")).select("a", "b")
-    )
+    return sets.withColumn("fragments", F.array(*parts))
 
 
 def _closed(f):
     return lambda t: f(t)
 
 
+def _shared_among(sets: DataFrame, percent: int, least: Column) -> DataFrame:
+    """sets less the documents that share no token of their prefix, and their tokens less those of one remaining document; who
+    then has too few left goes too. No pair that links is lost: it shares a prefix token, and only what both hold counts."""
+    prefix = sets.select("doc_id", F.explode(_prefix(percent)).alias("token"))
+    met = prefix.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
+    some = prefix.join(met, "token", "left_semi").select("doc_id").distinct()
+    left = sets.join(some, "doc_id", "left_semi")
+    token = left.select("doc_id", "n", F.explode("tokens").alias("token"))
+    common = token.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
+    kept = token.join(common, "token", "left_semi").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return kept.where(F.size("tokens") >= least)
+
+
+def _prefix(percent: int) -> Column:
+    """Of a set of n the first n - ceil(percent of n) + 1 in the global order; tokens that it shares with none come first."""
+    n = "cast(n as int)"
+    return F.expr(f"slice(tokens, 1, greatest(0, {n} - {int(percent)} * {n} div 100 + 1 - ({n} - size(tokens))))")
+
+
 def ngram_jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
 
@@ -218,24 +239,29 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5)
         .where(F.size("tokens") >= least)
     )
     sets = stored(sets, "sets")
-    pivots = _pivots(sets, FRAGMENTS)
-    prefix = sets.select("doc_id", "n", F.explode(F.expr(f"slice(tokens, 1, greatest(0, cast(n as int) - {int(percent)} * cast(n as int) div 100 + 1 - (cast(n as int) - size(tokens))))")).alias("token"))
+    sets = stored(_shared_among(sets, percent, least), "sets")
+    sets = stored(_fragmented(sets, _pivots(sets, FRAGMENTS)), "sets")
+    # A document's other shingles are in no other set: they bound what two sets can share, and how small their union can be.
+    prefix = sets.select("doc_id", "n", F.size("tokens").cast("long").alias("s"), F.explode(_prefix(percent)).alias("token"))
     star = prefix.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
-    fits = F.expr(f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)")
-    spokes = prefix.join(star.select("token", "a"), "token").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("n").alias("nb")).distinct()
-    pairs = spokes.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").where(fits)
-    links = stored(_verified(pairs, sets, pivots, percent), "links")
+    fits = F.expr(f"100 * least(sa, sb) >= {int(percent)} * (na + nb - least(sa, sb))")
+    spokes = prefix.join(star.select("token", "a"), "token").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).distinct()
+    pairs = spokes.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.size("tokens").cast("long").alias("sa")), "a").where(fits).select("a", "b", "na", "nb")
+    links = stored(_verified(pairs, sets, percent), "links")
     found = components(links)
 
     # What the stars left apart: pairs between components of one shingle.
     of = sets.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     apart = prefix.join(of, "doc_id")
     several = apart.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("token")
-    apart = stored(apart.join(several, "token").join(star.select("token", "a"), "token"), "apart")
-    x = apart.where("doc_id <> a").select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = apart.where("doc_id <> a").select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = x.join(y, "token").where("ca < cb").where(fits).select("a", "b", "na", "nb").distinct()
-    more = _verified(pairs, sets, pivots, percent)
+    apart = stored(apart.join(several, "token"), "apart")
+    apart = apart.join(apart.groupBy("doc_id").agg(F.collect_list("token").alias("p")), "doc_id")
+    x = apart.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("p").alias("pa"), F.col("component").alias("ca"))
+    y = apart.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("p").alias("pb"), F.col("component").alias("cb"))
+    # Two sets meet at the first token that their prefixes share, once.
+    once = (F.col("ca") < F.col("cb")) & fits & (F.array_min(F.array_intersect("pa", "pb")) == x["token"])
+    pairs = x.join(y, (x["token"] == y["token"]) & once).select("a", "b", "na", "nb")
+    more = _verified(pairs, sets, percent)
     found = components(links.unionByName(more))
 
     member = sig.join(classes.select("print1", "print2", "rep"), ["print1", "print2"], "left")
