@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,14 +62,14 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, width: int = 5) -> list[np.n
     return out
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("sig", pa.binary()), ("counts", pa.binary()), ("high", pa.binary()), ("low", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("sig", pa.binary()), ("counts", pa.binary()), ("high", pa.binary()), ("low", pa.binary())])
 
 
 def _deal(buckets: int, width: int):
     """Sets of many documents as a few wide rows, one for each bucket: ids, set sizes there and 48 bits of each hash."""
     bits = (buckets - 1).bit_length()
 
-    def send(ids, sizes, prints, sets):
+    def send(block, ids, sizes, prints, sets):
         order = {}
         for k, (i, p) in enumerate(zip(ids, prints)):
             if p not in order or i < ids[order[p]]:
@@ -92,6 +93,7 @@ def _deal(buckets: int, width: int):
             count = np.bincount(of[s], minlength=len(lead))
             has = np.flatnonzero(count)
             rows["bucket"].append(x)
+            rows["block"].append(block)
             rows["ids"].append(lead_ids[has].tobytes())
             rows["sig"].append(sig[0].as_py() if x == home else None)
             rows["counts"].append(count[has].astype(np.uint32).tobytes())
@@ -101,6 +103,7 @@ def _deal(buckets: int, width: int):
 
     def run(batches):
         ids, sizes, prints, sets, held = [], [], [], [], 0
+        block = TaskContext.get().partitionId() << 32
         for batch in in_blocks(batches):
             buf, offs = texts_of(batch.column("text"))
             for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(buf, offs, width)):
@@ -110,52 +113,69 @@ def _deal(buckets: int, width: int):
                 sets.append(s)
             held += len(buf)
             if held >= SET_BLOCK:
-                yield send(ids, sizes, prints, sets)
+                yield send(block, ids, sizes, prints, sets)
+                block += 1
                 ids, sizes, prints, sets, held = [], [], [], [], 0
         if ids:
-            yield send(ids, sizes, prints, sets)
+            yield send(block, ids, sizes, prints, sets)
 
     return run
 
 
-_FOUND = "kind int, doc_id long, n long, print1 long, print2 long, tokens array<long>"
+_FOUND = "block long, sig binary, ids binary, counts binary, tokens binary"
 
 
 def _shared(buckets: int):
-    """Of one bucket: a row of each document's size and fingerprint, and each document's shingles found in two documents or more."""
+    """Of one bucket: for each block its documents' shingles that two documents or more have, as tokens of the global order."""
     bits = (buckets - 1).bit_length()
 
     def run(table: pa.Table) -> pa.Table:
-        out, cols = [], {n: table.column(n).to_pylist() for n in ("bucket", "ids", "sig", "counts", "high", "low")}
-        for sig in filter(None, cols["sig"]):
+        cols = {n: table.column(n).to_pylist() for n in ("bucket", "ids", "counts", "high", "low")}
+        h = np.frombuffer(b"".join(cols["high"]), np.uint32).astype(np.uint64) << np.uint64(16)
+        h |= np.frombuffer(b"".join(cols["low"]), np.uint16)
+        h |= np.uint64(cols["bucket"][0]) << np.uint64(48)
+        by = np.argsort(h)
+        s = h[by]
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]]))
+        df = np.diff(np.append(new, len(s)))
+        token = np.zeros(len(h), np.int64)
+        level = np.repeat(np.floor(np.log2(np.maximum(df, 1))).astype(np.uint64), df)
+        token[by] = np.where(np.repeat(df, df) >= 2, (level << np.uint64(ID_BITS)) | (s >> np.uint64(max(0, bits + 48 - ID_BITS))), 0).astype(np.int64)
+        rows, at = {n: [] for n in ("ids", "counts", "tokens")}, 0
+        for ids, counts in zip(cols["ids"], cols["counts"]):
+            ids, counts = np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)
+            t = token[at : at + int(counts.sum())]
+            at += len(t)
+            doc = np.repeat(np.arange(len(ids)), counts)[t > 0]
+            has, count = np.unique(doc, return_counts=True)
+            rows["ids"].append(ids[has].tobytes())
+            rows["counts"].append(count.astype(np.uint32).tobytes())
+            rows["tokens"].append(t[t > 0].tobytes())
+        return pa.table({"block": table.column("block"), "sig": table.column("sig"), **{n: pa.array(x, pa.binary()) for n, x in rows.items()}})
+
+    return run
+
+
+_SETS = "doc_id long, n long, print1 long, print2 long, tokens array<long>"
+
+
+def _assembled(percent: int):
+    """Of one block: a row for each document, with its shared tokens in order where they are enough for a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        ids, counts, tokens = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("ids", np.int64), ("counts", np.uint32), ("tokens", np.int64)))
+        owner = np.repeat(ids, counts)
+        by = np.lexsort((tokens, owner))
+        owner, tokens = owner[by], tokens[by]
+        for sig in filter(None, table.column("sig").to_pylist()):
             n = len(sig) // 32
             ids, sizes = np.frombuffer(sig, np.int64, 2 * n).reshape(2, n)
             prints = np.frombuffer(sig, np.int64, 2 * n, 16 * n).reshape(n, 2)
-            out.append(pa.table({"kind": pa.array(np.zeros(n, np.int32)), "doc_id": ids, "n": sizes, "print1": prints[:, 0], "print2": prints[:, 1], "tokens": pa.nulls(n, pa.list_(pa.int64()))}))
-        ids = np.frombuffer(b"".join(cols["ids"]), np.int64)
-        counts = np.frombuffer(b"".join(cols["counts"]), np.uint32).astype(np.int64)
-        h = np.frombuffer(b"".join(cols["high"]), np.uint32).astype(np.uint64) << np.uint64(16)
-        h |= np.frombuffer(b"".join(cols["low"]), np.uint16)
-        if len(h):
-            h |= np.uint64(cols["bucket"][0]) << np.uint64(48)
-            by = np.argsort(h)
-            s = h[by]
-            new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            df = np.diff(np.append(new, len(s)))
-            many = np.repeat(df, df) >= 2
-            level = np.repeat(np.floor(np.log2(df)).astype(np.uint64), df)[many]
-            at = by[many]
-            token = (level << np.uint64(ID_BITS)) | (s[many] >> np.uint64(max(0, bits + 48 - ID_BITS)))
-            doc = np.repeat(np.arange(len(ids)), counts)[at]
-            by = np.lexsort((token, doc))
-            doc, token = doc[by], token[by].astype(np.int64)
-            has, begin = np.unique(doc, return_index=True)
-            n = len(has)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(token)).astype(np.int32)), pa.array(token))
-            none = pa.nulls(n, pa.int64())
-            out.append(pa.table({"kind": pa.array(np.ones(n, np.int32)), "doc_id": ids[has], "n": none, "print1": none, "print2": none, "tokens": lists}))
-        if not out:
-            return pa.table({"kind": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in ("doc_id", "n", "print1", "print2")}, "tokens": pa.array([], pa.list_(pa.int64()))})
+            lo, hi = np.searchsorted(owner, ids), np.searchsorted(owner, ids, "right")
+            enough = (100 * (hi - lo) >= percent * sizes) & (hi > lo)
+            lists = pa.array([tokens[i:j] if e else None for i, j, e in zip(lo, hi, enough)], pa.list_(pa.int64()))
+            out.append(pa.table({"doc_id": ids, "n": sizes, "print1": prints[:, 0], "print2": prints[:, 1], "tokens": lists}))
         return pa.concat_tables(out)
 
     return run
@@ -228,16 +248,14 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = blocks_for(text_bytes(docs) // 6, PER_BUCKET)
     buckets = 1 << (wanted - 1).bit_length()
-    sent = docs.mapInArrow(_deal(buckets, width), "bucket int, ids binary, sig binary, counts binary, high binary, low binary")
-    found = stored(sent.groupBy("bucket").applyInArrow(_shared(buckets), _FOUND), "shingles")
-    sig = found.where("kind = 0").select("doc_id", "n", "print1", "print2")
+    sent = docs.mapInArrow(_deal(buckets, width), "bucket int, block long, ids binary, sig binary, counts binary, high binary, low binary")
+    found = sent.groupBy("bucket").applyInArrow(_shared(buckets), _FOUND)
+    found = stored(found.groupBy("block").applyInArrow(_assembled(percent), _SETS), "shingles")
+    sig = found.select("doc_id", "n", "print1", "print2")
     classes = sig.where("n > 0").groupBy("print1", "print2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     least = F.expr(f"cast((n * {int(percent)} + 99) div 100 as int)")
-    sets = (
-        found.where("kind = 1").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"))
-        .join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
-        .where(F.size("tokens") >= least)
-    )
+    sets = found.where("tokens is not null").select("doc_id", "tokens").dropDuplicates(["doc_id"])
+    sets = sets.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id").where(F.size("tokens") >= least)
     sets = stored(sets, "sets")
     sets = stored(_shared_among(sets, percent, least), "sets")
     sets = stored(_fragmented(sets, _pivots(sets, FRAGMENTS)), "sets")
