@@ -26,7 +26,7 @@ from .common import in_blocks, small_batches, stored
 LENGTH = 2048
 END_ID = 1
 #: Words whose ids a worker remembers before it forgets all.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def tokenizer_path() -> str:
@@ -36,7 +36,10 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids of a text, by words: the tokenizer never joins across a space or a line feed, so words are encoded once."""
+    """Ids of texts, by words: the tokenizer never joins across a space or a line feed, so each word is encoded once, all new
+    words of a block in one call with a mark between them."""
+
+    MARK = "§"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,20 +47,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        mark = self._ids(self.MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> None:
+        apart = [w for w in words if self.MARK in w] if self.mark is not None else words
+        for w in apart:
+            self.known[w] = np.array(self._ids(w), "<u4").tobytes()
+        rest = [w for w in words if self.MARK not in w] if apart else words
+        if self.mark is None or not rest:
+            return
+        # The mark's id belongs to no word without the mark.
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            ids = np.array(self._ids(f" {self.MARK} ".join(part)), "<u4")
+            raw, cut = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
+            for w, x, y in zip(part, [-4, *cut], [*cut, len(raw)]):
+                self.known[w] = raw[x + 4 : y]
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32 bits."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = {"": b""}
+        known = self.known
+        if new := {w for words in split for w in words if w not in known}:
+            self._learn(sorted(new))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def __call__(self, text: str) -> bytes:
-        """The ids, each as little-endian unsigned 32 bits."""
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+        return self.all([text])[0]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each process: a worker's later partitions find the words that it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 _TOKENS = "doc_id long, source string, part int, place long, n long, ids binary"
@@ -68,13 +100,14 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     where the vocabulary allows."""
 
     def run(batches):
-        encode, served = Encoder(path), {}
+        encode, served = encoder(path), {}
         wide = encode.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         for batch in in_blocks(batches):
             out = []
-            for i, text, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source"))):
-                ids = encode(text or "") + end
+            texts = encode.all([t or "" for t in batch.column("text").to_pylist()])
+            for i, ids, source in zip(batch.column("doc_id").to_pylist(), texts, batch.column("source").to_pylist()):
+                ids += end
                 n = len(ids) // 4
                 at = served.get(source, 0)
                 served[source] = at + n
