@@ -26,7 +26,7 @@ from .common import in_blocks, small_batches, stored
 LENGTH = 2048
 END_ID = 1
 #: Words whose ids a worker remembers before it forgets all.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def tokenizer_path() -> str:
@@ -46,40 +46,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {b"": b""}
         mark = self._ids(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        # These hold for a tokenizer that lowers case, and parts a letter from a full stop or comma.
+        self.lowers = self._ids("Aa Zz") == self._ids("aa zz")
+        self.parts = {p: self._ids(f"az{p} a") == self._ids(f"az {p} a") for p in ".,"}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        apart = [w for w in words if self.MARK in w] if self.mark is not None else words
-        for w in apart:
-            self.known[w] = np.array(self._ids(w), "<u4").tobytes()
-        rest = [w for w in words if self.MARK not in w] if apart else words
-        if self.mark is None or not rest:
-            return
+    def _plain(self, text: bytes) -> bytes:
+        """A-Z in lower case, but where that could join a letter with a mark after it, or make a special token."""
+        return text if not self.lowers or b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, ends = self.known, tuple(p.encode() for p, ok in self.parts.items() if ok)
+        ended = {w for w in words if w.endswith(ends) and w[-2:-1].islower()} if ends else set()
+        rest = (words - ended) | {w[:-1] for w in ended}
+        texts = [w.decode() for w in sorted(rest) if w not in known]
+        texts += [p.decode() for p in ends if p not in known and p.decode() not in texts]
+        for w in texts:
+            if self.mark is None or self.MARK in w:
+                known[w.encode()] = np.array(self._ids(w), "<u4").tobytes()
+        texts = [w for w in texts if self.MARK not in w] if self.mark is not None else []
         # The mark's id belongs to no word without the mark.
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
+        for i in range(0, len(texts), 4096):
+            part = texts[i : i + 4096]
             ids = np.array(self._ids(f" {self.MARK} ".join(part)), "<u4")
             raw, cut = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
             for w, x, y in zip(part, [-4, *cut], [*cut, len(raw)]):
-                self.known[w] = raw[x + 4 : y]
+                known[w.encode()] = raw[x + 4 : y]
+        for w in ended:
+            known[w] = known[w[:-1]] + known[w[-1:]]
 
-    def all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32 bits."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each UTF-8 text, as little-endian unsigned 32 bits."""
+        split = [self._plain(t).replace(b"\n", b" ").split(b" ") for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
+            self.known = {b"": b""}
         known = self.known
         if new := {w for words in split for w in words if w not in known}:
-            self._learn(sorted(new))
+            self._learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def __call__(self, text: str) -> bytes:
-        return self.all([text])[0]
+        return self.all([text.encode()])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -105,7 +117,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         for batch in in_blocks(batches):
             out = []
-            texts = encode.all([t or "" for t in batch.column("text").to_pylist()])
+            texts = encode.all([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
             for i, ids, source in zip(batch.column("doc_id").to_pylist(), texts, batch.column("source").to_pylist()):
                 ids += end
                 n = len(ids) // 4

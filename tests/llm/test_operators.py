@@ -265,7 +265,7 @@ def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
     encode, tokenizer = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
-    for t in ["", " á  b\tc\r\n d", "İI ß 12,3 <|endoftext|>x", "a b c\x1cd e'll", "日本 語 ́x", "a§b § c§", "§"]:
+    for t in ["", " á  b\tc\r\n d", "İI ß 12,3 <|endoftext|>x", "a b c\x1cd e'll", "日本 語 ́x", "a§b § c§", "§", "End. end, END.. x's. Y., 5. J̌ J̌. <|EndOfText|>. É. Σ. .", "ΣΑΣ É́."]:
         assert np.frombuffer(encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
