@@ -31,10 +31,10 @@ from .common import blocks_for, in_blocks, mix, prefix_hashes, small_batches, sp
 
 LENGTH = 100
 #: Grams in a string: a larger number sends fewer, longer runs.
-SLIDE = 49
+SLIDE = 61
 #: Starts in one run at most; longer ones, of periodic texts, are cut.
 RUN = 256
-PER_BUCKET = 1_000_000
+PER_BUCKET = 4_000_000
 SHARD_BYTES = 3 << 20
 SPLIT_BLOCKS = 4096
 
@@ -49,16 +49,15 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
     # Bytes 0 and the end differ: the last 8 suffixes are put right by the rounds, whose missing rank is -1.
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     k = key[sa]
     new = np.concatenate([[True], k[1:] != k[:-1]])
-    new[np.flatnonzero(sa > n - 8)] = True
-    follows = np.flatnonzero(sa > n - 8) + 1
-    new[follows[follows < n]] = True
-    if (tail := np.flatnonzero(sa > n - 8)).size:  # ties of short suffixes with zero bytes: the shorter one first
-        order = np.lexsort((-sa, k))
-        sa, k = sa[order], k[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (sa[1:] > n - 8) | (sa[:-1] > n - 8)])
+    tail = key[max(0, n - 7) :]
+    for lo, hi in sorted(set(zip(np.searchsorted(k, tail).tolist(), np.searchsorted(k, tail, "right").tolist()))):
+        group = sa[lo:hi]
+        short = np.sort(group[group > n - 8])[::-1]
+        sa[lo:hi] = np.concatenate([short, group[group <= n - 8]])
+        new[lo : min(hi, lo + len(short) + 1)] = True
     del key, k, tail
     place = np.arange(n)
     first = np.maximum.accumulate(np.where(new, place, 0))
@@ -71,7 +70,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = sa[tied]
         next_ = np.where(at + h < n, rank[np.minimum(at + h, n - 1)], -1)
         group = rank[at]
-        order = np.argsort(group * (n + 1) + next_ + 1, kind="stable")
+        order = np.argsort(group * (n + 1) + next_ + 1)
         at, group, next_ = at[order], group[order], next_[order]
         sa[tied] = at
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (next_[1:] != next_[:-1])])
@@ -308,10 +307,13 @@ def _settle(length: int, final: bool):
             of = np.repeat(np.arange(len(lead)), n[c])
             k = np.arange(len(of)) - np.repeat(np.cumsum(n[c]) - n[c], n[c])
             group = group[begin[of] + k]
+            every = of
+            several = np.flatnonzero(np.bincount(group)[group] > 1)
+            group, of, k = group[several], of[several], k[several]
             d, start = doc[c][of], at[c][of] + k
             by = np.lexsort((start, d, group))
             g, d, start, of, k = group[by], d[by], start[by], of[by], k[by]
-            head = np.maximum.accumulate(np.where(np.concatenate([[True], g[1:] != g[:-1]]), np.arange(len(g)), 0))
+            head = np.maximum.accumulate(np.where(np.concatenate([np.ones(min(1, len(g)), bool), g[1:] != g[:-1]]), np.arange(len(g)), 0))
             again = (d != d[head]) | (start != start[head])
             by = np.flatnonzero(again)
             by = by[np.lexsort((k[by], of[by]))]
@@ -322,7 +324,8 @@ def _settle(length: int, final: bool):
                 r = c[o[new]]
                 out.append(_rows(doc[r], at[r] + k[new], size, gram[r], np.zeros(len(r), np.int64), [None] * len(r)))
             if not final:
-                left = c[np.unique(of[~again])]
+                # Runs that still have a first occurrence: some start was not found again.
+                left = c[np.bincount(of[again], minlength=len(c)) < np.bincount(every, minlength=len(c))]
                 out.append(_rows(doc[left], at[left], n[left], gram[left], np.zeros(len(left), np.int64), [body[k] for k in left.tolist()]))
         return pa.Table.from_batches(out) if out else none
 
