@@ -230,7 +230,8 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     total = text_bytes(docs)
-    blocks, parts = blocks_for(total, BLOCK), blocks_for(total, PART)
+    # With fewer buckets than shuffle partitions a later step would deal them again.
+    blocks, parts = blocks_for(total, BLOCK), max(blocks_for(total, PART), int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"cloakframe_lm_{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     # Dealt to blocks once, in a table whose blocks later steps read without another exchange.

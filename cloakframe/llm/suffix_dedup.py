@@ -370,7 +370,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = text_bytes(docs)
     # The texts are dealt by doc_id once, into a table that later joins on doc_id read without another exchange.
-    parts = blocks_for(total, 24 << 20)
+    # With fewer buckets than shuffle partitions the joins would deal them again.
+    parts = max(blocks_for(total, 24 << 20), int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"cloakframe_texts_{uuid.uuid4().hex}"
     docs.where("doc_id is not null").repartition(parts, "doc_id").write.option("compression", "zstd").bucketBy(parts, "doc_id").saveAsTable(name)
     texts = spark.table(name)
