@@ -183,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineField:
         return LineField()
     rate = F.create_map(*[F.lit(v) for k in sorted(counts) for v in (k, DOCS_PER_LABEL / counts[k])])
     chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.try_element_at(rate, F.col("quality")) * (1 << 20))
-    pairs = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "quality")
+    # The sample's parameter bounds the chosen ids, so they are sent to the texts.
+    pairs = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
 
     def lines(batches):
         for batch in in_blocks(batches):
