@@ -177,6 +177,36 @@ def test_line_dedup_near_brute_force(spark, docs):
     assert not any(want[k] and not got[k] for k in want)
 
 
+def full_shingles(x):
+    x = x.lower()
+    return {x[k : k + 5] for k in range(max(1, len(x) - 4))}
+
+
+def similar_lines(a, b):
+    a, b = full_shingles(a), full_shingles(b)
+    return 100 * len(a & b) >= 80 * len(a | b)
+
+
+def test_lines_are_compared_at_every_place(spark, docs):
+    long = "".join(f"{k * 7919 % 1000:03d}ab" for k in range(60))
+    odd = ["https://example.com/a", "https://elsewhere.org/b", "Andththwhes.", "Andththwhwh.", "col\tone\t1\tx", "col\tone\t2\tyyyyyyyy", "今日はとても良い天気ですね明日も晴れるでしょう", "今日はとても良い本を読みました昨日は雨でした", "😀😁😂🤣😃😄", "😀😁😂🤣😅😆", "abc", "abd", long, "x" + long, long.replace("ab", "cd")]
+    texts = [(k, x) for k, x in enumerate(odd)] + [(1000 + r.doc_id, r.text) for r in docs.collect()]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    lines = [(i, k, x) for i, t in sorted(texts) for k, x in enumerate(t.split("\n")) if re.search(WORD, x)]
+    names = sorted({x for _, _, x in lines})
+    sets = {x: full_shingles(x) for x in names}
+    links = [(a, b) for n, a in enumerate(names) for b in names[n + 1 :] if 100 * min(len(sets[a]), len(sets[b])) >= 80 * max(len(sets[a]), len(sets[b])) and similar_lines(a, b)]
+    top, seen, want = union(names, links), set(), {}
+    for i, k, x in lines:
+        want[i, k] = top[x] not in seen
+        seen.add(top[x])
+    got = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_components(df).collect()}
+    assert got.keys() == want.keys()
+    assert {i: got[i, 0] for i in range(len(odd))} == {i: i != 13 for i in range(len(odd))}
+    assert not any(want[k] and not got[k] for k in want)
+    assert sum(got[k] != want[k] for k in want) <= 0.01 * sum(not v for v in want.values())
+
+
 def test_line_edges(spark, edge):
     got = {r.doc_id: (r.n_lines, r.n_kept) for r in line_dedup.line_report(edge).collect()}
     assert got == {1: (0, 0), 2: (0, 0), None: (1, 1), 3: (4, 2), 4: (1, 1), 5: (0, 0)}
