@@ -207,6 +207,23 @@ def test_lines_are_compared_at_every_place(spark, docs):
     assert sum(got[k] != want[k] for k in want) <= 0.01 * sum(not v for v in want.values())
 
 
+def test_lines_of_a_hot_band_are_all_compared(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    # Nothing but the lines' own letters differs: all share one band, and pairs are planted among them.
+    lines = ["".join(chr(97 + c) for c in rng.integers(0, 26, 60)) for _ in range(300)]
+    lines += [x[:30] + "-" + x[31:] for x in lines[::10]]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    signed = line_dedup.signatures
+
+    def one_band(x):
+        return signed(x).withColumn("bands", F.array(F.lit(1).cast("long")))
+
+    monkeypatch.setattr(line_dedup, "signatures", one_band)
+    got = {r.doc_id for r in line_dedup.line_components(rows).where("not kept").select("doc_id").collect()}
+    assert got == set(range(300, 330)) and all(similar_lines(lines[10 * k], lines[300 + k]) for k in range(30))
+
+
 def test_line_edges(spark, edge):
     got = {r.doc_id: (r.n_lines, r.n_kept) for r in line_dedup.line_report(edge).collect()}
     assert got == {1: (0, 0), 2: (0, 0), None: (1, 1), 3: (4, 2), 4: (1, 1), 5: (0, 0)}
