@@ -224,6 +224,10 @@ def test_lines_of_a_hot_band_are_all_compared(spark, monkeypatch):
     assert got == set(range(300, 330)) and all(similar_lines(lines[10 * k], lines[300 + k]) for k in range(30))
 
 
+def test_line_bands_miss_few_pairs():
+    assert (1 - (line_dedup.PERCENT / 100) ** line_dedup.ROWS) ** line_dedup.BANDS < 0.004
+
+
 def test_line_edges(spark, edge):
     got = {r.doc_id: (r.n_lines, r.n_kept) for r in line_dedup.line_report(edge).collect()}
     assert got == {1: (0, 0), 2: (0, 0), None: (1, 1), 3: (4, 2), 4: (1, 1), 5: (0, 0)}
