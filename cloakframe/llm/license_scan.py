@@ -1,7 +1,7 @@
 """Licence scan: sparse TF-IDF cosine of a file's lines to licence templates, then inheritance from the nearest directory.
 
 Every line of a whole text is a possible header. Weights are tf * idf, idf from the number of texts that hold a
-template's term; a term of no template weighs as one of no text. A line can reach the threshold only if it holds one of the terms
+term: those of the templates are collected, the others of the lines to score are joined. A line can reach the threshold only if it holds one of the terms
 without which no template keeps enough of its norm, so only such lines are scored: the rest can't match.
 
 A directory has the licence of its best licence file. A file without its own takes that of the nearest ancestor that has one,
@@ -19,6 +19,8 @@ from .common import small_batches, stored
 
 THRESHOLD = 0.7
 TERM = r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
+#: Bytes up to which the lines' other terms are broadcast; beyond, they are joined by a shuffle.
+BROADCAST = 32 << 20
 LICENCE_FILE = r"^(LICEN[CS]E|COPYING|NOTICE)(\..*)?$"
 #: Notices by SPDX identifier; fixed values.
 TEMPLATES = (
@@ -50,14 +52,24 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted({t for _, text in templates for t in _python_terms(text)})
 
 
-def idf(files: DataFrame, templates=TEMPLATES) -> tuple[dict[str, float], float]:
-    """Of the templates' terms over all texts, and of a term of no text. The templates bound what is collected."""
+def idf(files: DataFrame, templates=TEMPLATES) -> tuple[dict[str, float], int]:
+    """Of the templates' terms over all texts, and the number of texts. The templates bound what is collected."""
     words = vocabulary(templates)
     known = F.array(*[F.lit(w) for w in words])
     held = files.select(F.explode(F.array_intersect(terms(F.col("text")), known)).alias("term"))
     df = {x["term"]: x["n"] for x in held.groupBy("term").agg(F.count("*").alias("n")).collect()}
     n = files.count()
-    return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in words}, math.log(1 + n) + 1
+    return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in words}, n
+
+
+def other_weights(files: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """(term, other): idf over all n texts of the terms in found (term)."""
+    held = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    if found.count() * 64 <= BROADCAST:
+        held = held.join(F.broadcast(found), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    else:
+        held = held.groupBy("term").agg(F.count("*").alias("n")).join(found, "term", "left_semi")
+    return held.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("n"))) + 1).alias("other"))
 
 
 def template_vectors(weights: dict[str, float], templates=TEMPLATES) -> list[dict[str, float]]:
@@ -87,7 +99,7 @@ def needed_terms(vectors: list[dict[str, float]], threshold: float) -> list[str]
 def declared(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(path, own, score): the best template of each file's lines, where it reaches the threshold. Ties: the first identifier."""
     spark = files.sparkSession
-    weights, other = idf(files, templates)
+    weights, n = idf(files, templates)
     vectors = template_vectors(weights, templates)
     needed = F.array(*[F.lit(t) for t in needed_terms(vectors, threshold)])
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("terms", terms(F.col("line")))
@@ -97,7 +109,11 @@ def declared(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     rows = [(t, weights[t], i, k, v[t]) for k, ((i, _), v) in enumerate(zip(templates, vectors)) for t in v]
     template = spark.createDataFrame(rows, "term string, weight double, id string, template int, part double")
     weight = F.broadcast(template.select("term", "weight").distinct())
-    tf = stored(tf.join(weight, "term", "left").withColumn("w", F.col("tf") * F.coalesce("weight", F.lit(other))).drop("weight"), "terms")
+    tf = stored(tf.join(weight, "term", "left"), "terms")
+    found = stored(tf.where("weight is null").select("term").distinct(), "other-terms")
+    other = stored(other_weights(files, found, n), "other-weights")
+    tf = tf.join(other, "term", "left").withColumn("w", F.col("tf") * F.coalesce("weight", "other")).drop("weight", "other")
+    tf = stored(tf, "weighted")
     norm = tf.groupBy("path", "line_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = tf.join(F.broadcast(template), "term").groupBy("path", "line_no", "template", "id").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
     scored = dot.join(norm, ["path", "line_no"]).select("path", "id", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= threshold)

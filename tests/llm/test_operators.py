@@ -75,6 +75,26 @@ def test_license_scores_equal_brute_force(spark, docs):
     assert {r.doc_id: (r.own, r.score and round(r.score, 6)) for r in got} == want and any(k for k, _ in want.values())
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_license_weighs_common_words_by_all_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(license_scan, "BROADCAST", limit)
+    header = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with it'
+    texts = [f"plain{k}\n" + "you may not use this file except in compliance with it " * (k % 3 > 0) + "\napache\nversion\n2.0\nlicense" * (k % 10 == 0) for k in range(300)] + [header]
+    held = collections.Counter(w for t in texts for w in set(license_scan._python_terms(t)))
+    true = {w: math.log((1 + len(texts)) / (1 + held[w])) + 1 for w in {*held, *license_scan.vocabulary()}}
+
+    def cosine(weight):
+        v = {w: n * weight(w) for w, n in collections.Counter(license_scan._python_terms(header)).items()}
+        unit = license_scan.template_vectors(true)[0]
+        return sum(x * unit.get(w, 0) for w, x in v.items()) / math.sqrt(sum(x * x for x in v.values()))
+
+    known = set(license_scan.vocabulary())
+    assert cosine(true.get) >= license_scan.THRESHOLD > cosine(lambda w: true[w] if w in known else math.log(1 + len(texts)) + 1)
+    rows = spark.createDataFrame([(k, f"d/{k}", t) for k, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.own, r.score) for r in license_scan.scan(rows).where("own is not null").collect()}
+    assert got == {300: ("Apache-2.0", pytest.approx(cosine(true.get), abs=1e-6))}
+
+
 def test_license_empty(spark, edge):
     assert license_scan.scan(edge.withColumn("path", license_scan.path_of())).count() == len(EDGE)
     assert license_scan.scan(edge.limit(0).withColumn("path", license_scan.path_of())).count() == 0
