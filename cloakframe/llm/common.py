@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import functools
+import tempfile
 import uuid
 
 import numpy as np
@@ -16,41 +20,104 @@ BLOCK_BYTES = 4 << 20
 
 # ------------------------------------------------------------------ tables in the shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none, one under /tmp is set (tests)."""
+    """The folder that driver and executors share. Only a local session that names none gets one in the machine's folder for
+    temporary files; on a cluster the setting is needed."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file:///tmp/checkpoints/cloakframe"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = f"file://{tempfile.gettempdir()}/checkpoints/cloakframe"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def tidy(spark: SparkSession) -> None:
-    """A finished step's shuffle files go at once: what later steps need is in the shared folder."""
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """The session's setting is value inside, and what it was behind."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def tidy(spark: SparkSession):
+    """Inside, a finished step's shuffle files go at once: what later steps need is in the shared folder."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+class Scratch:
+    """What one call of an operator has written: files in the shared folder and tables of the warehouse."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.tables = spark, [], []
+
+    def clear(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths, self.tables = [], []
+
+
+_OPEN: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("scratch", default=None)
+
+
+def finished(operator):
+    """An operator (its first argument is a DataFrame) whose result is written to the shared folder before it returns, so that
+    all it wrote on the way, tables in the warehouse too, is removed. One called inside another leaves that to the outer one."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        if _OPEN.get() is not None:
+            return operator(docs, *args, **kwargs)
+        scratch = Scratch(docs.sparkSession)
+        token = _OPEN.set(scratch)
+        try:
+            out = operator(docs, *args, **kwargs)
+            _OPEN.set(None)
+            return stored(out, operator.__name__)
+        finally:
+            _OPEN.reset(token)
+            scratch.clear()
+
+    return run
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _OPEN.get() is not None:
+        _OPEN.get().paths.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back. The files stay until the
-    application's folder is removed."""
+    """Cuts the lineage: writes df to the shared folder and reads it back. An operator's own steps are removed when it has
+    finished, its result with the application's folder."""
     spark = df.sparkSession
-    tidy(spark)
     path = table_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def bucketed(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """df as a table of the warehouse in parts buckets by key, which later groups and joins by key read without an exchange."""
+    spark, name = df.sparkSession, f"cloakframe_{name}_{uuid.uuid4().hex}"
+    if _OPEN.get() is not None:
+        _OPEN.get().tables.append(name)
+    with tidy(spark):
+        df.write.option("compression", "zstd").bucketBy(parts, key).saveAsTable(name)
+    return spark.table(name)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches by rows are unbounded in bytes; long texts need fewer rows in each."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    tidy(spark)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -166,8 +233,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
             "edges",
         )
         # Settled: every node has one edge, and no node is both a centre and on an edge's far side.
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before or not now[0] or e.select(F.col("u").alias("x"), F.lit(1).alias("k")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("k")).distinct()).groupBy("x").agg(F.sum("k").alias("s"), F.count("*").alias("n")).where("s > 1 or (s = 1 and n > 1)").isEmpty():
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("k")), F.struct(F.col("v").alias("x"), F.lit(0).alias("k")))).alias("s"))
+        ends = ends.groupBy("s.x").agg(F.sum("s.k").alias("s"), F.min("s.k").alias("k"), F.sum(F.hash("s.x", "s.k").cast("long")).alias("h"))
+        now = ends.agg(F.sum(F.when(F.expr("s > 1 or (s = 1 and k = 0)"), 1).otherwise(0)).alias("open"), F.sum("h").alias("h")).first()
+        if not now["open"] or now == before:
             break
         before = now
     else:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks_for, components, in_blocks, mix, prefix_hashes, small_batches, span_hashes, stored, text_bytes, texts_of, words_of
+from .common import LOWER, blocks_for, components, finished, in_blocks, mix, prefix_hashes, span_hashes, stored, text_bytes, texts_of, words_of
 
 #: Shingles that one bucket holds, about: a bucket is one task's memory.
 PER_BUCKET = 2_000_000
@@ -235,6 +235,7 @@ def _prefix(percent: int) -> Column:
     return F.expr(f"slice(tokens, 1, greatest(0, {n} - {int(percent)} * {n} div 100 + 1 - ({n} - size(tokens))))")
 
 
+@finished
 def ngram_jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
 
@@ -243,7 +244,6 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5)
     one document in two rows. An empty table gives an empty result. Ties (equal sets) are one class.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     nameless = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = blocks_for(text_bytes(docs) // 6, PER_BUCKET)
@@ -288,6 +288,7 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5)
     return member.unionByName(nameless)
 
 
+@finished
 def keep_one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id. Rows that repeat a doc_id stay as they are."""
     found = ngram_jaccard_components(docs, percent, width)

@@ -2,6 +2,9 @@
 
 Bytes are embedded, filtered at several widths, max-pooled and classified by softmax, over fixed windows that tile the whole
 text. A document's prediction is the mean of its windows' probabilities.
+
+Every language with a usable document is learned: the sample and the last layer grow with the number of languages, not with that of
+documents.
 """
 
 from __future__ import annotations
@@ -13,16 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_blocks, small_batches, texts_of
+from .common import in_blocks, texts_of
 
 WINDOW = 256
 EMBED, FILTERS, WIDTHS = 4, 16, (2, 3, 4)
 #: The fit's bound: documents of each language in its sample, and windows of each document.
 DOCS_PER_LANG, WINDOWS_PER_DOC = 1000, 2
-#: Languages the network can learn; the table has as many rows.
-LANGS = 256
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UND = "und"
+#: with_language rejects a document whose likeliest language has less; at 0 only those without a language to tell.
+MIN_SCORE = 0.0
 
 
 def windows_of(buf: np.ndarray, offs: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -70,30 +73,35 @@ class Network:
         s /= s.sum(axis=1, keepdims=True)
         return (s, h, tops) if training else s
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of windows x with languages y, by backpropagation through the pooled places."""
+        s, h, tops = self.forward(x, True)
+        s[np.arange(len(y)), y] -= 1
+        s /= len(y)
+        g = {"o": h.T @ s, "ob": s.sum(axis=0), "e": np.zeros_like(self.p["e"])}
+        dh = (s @ self.p["o"].T) * (h > 0)
+        rows = np.arange(len(y))[:, None]
+        for j, w in enumerate(WIDTHS):
+            d = dh[:, j * FILTERS : (j + 1) * FILTERS]
+            g[f"b{w}"] = d.sum(axis=0)
+            dw = np.zeros((w, EMBED, FILTERS), self.p["e"].dtype)
+            kernel = self.p[f"w{w}"].reshape(w, EMBED, FILTERS)
+            for k in range(w):
+                b = x[rows, tops[j] + k]
+                dw[k] = np.einsum("nfe,nf->ef", self.p["e"][b], d)
+                np.add.at(g["e"], b, d[:, :, None] * kernel[k].T[None])
+            g[f"w{w}"] = dw.reshape(w * EMBED, FILTERS)
+        return g
+
     def fit(self, win: np.ndarray, lang: np.ndarray, seed: int = 11) -> "Network":
+        """By Adam steps over shuffled batches."""
         r, step = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for _ in range(EPOCHS):
             order = r.permutation(len(win))
             for i in range(0, len(order), BATCH):
                 at = order[i : i + BATCH]
-                x, y = win[at], lang[at]
-                s, h, tops = self.forward(x, True)
-                s[np.arange(len(y)), y] -= 1
-                s /= len(y)
-                g = {"o": h.T @ s, "ob": s.sum(axis=0), "e": np.zeros_like(self.p["e"])}
-                dh = (s @ self.p["o"].T) * (h > 0)
-                rows = np.arange(len(y))[:, None]
-                for j, w in enumerate(WIDTHS):
-                    d = dh[:, j * FILTERS : (j + 1) * FILTERS]
-                    g[f"b{w}"] = d.sum(axis=0)
-                    dw = np.zeros((w, EMBED, FILTERS), np.float32)
-                    kernel = self.p[f"w{w}"].reshape(w, EMBED, FILTERS)
-                    for k in range(w):
-                        b = x[rows, tops[j] + k]
-                        dw[k] = np.einsum("nfe,nf->ef", self.p["e"][b], d)
-                        np.add.at(g["e"], b, d[:, :, None] * kernel[k].T[None])
-                    g[f"w{w}"] = dw.reshape(w * EMBED, FILTERS)
+                g = self.gradients(win[at], lang[at])
                 step += 1
                 for k in self.p:
                     m[k] += 0.1 * (g[k] - m[k])
@@ -111,7 +119,7 @@ def fit(docs: DataFrame) -> Network | None:
     """From text and lang of documents that are not held out. The sample takes documents by a hash of doc_id with a
     probability that gives about DOCS_PER_LANG of each language; None without any."""
     usable = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out()).select("doc_id", "lang", "text")
-    counts = {x["lang"]: x["n"] for x in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
+    counts = {x["lang"]: x["n"] for x in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     langs = sorted(counts)
@@ -136,37 +144,56 @@ def fit(docs: DataFrame) -> Network | None:
     return Network(langs).fit(win, np.array([langs.index(x[1]) for x in rows]))
 
 
+def _verdict(network: Network | None, batch: pa.RecordBatch, letters: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each row: the mean of its windows' probabilities."""
+    lang, score = np.full(batch.num_rows, UND, object), np.zeros(batch.num_rows)
+    if network is not None and letters.any():
+        buf, offs = texts_of(batch.column(batch.schema.get_field_index(text)))
+        win, doc = windows_of(buf, offs)
+        p = np.concatenate([network.forward(win[i : i + 64]) for i in range(0, len(win), 64)]).astype(np.float64)
+        mean = np.add.reduceat(p, np.searchsorted(doc, np.arange(batch.num_rows)), axis=0)
+        mean /= mean.sum(axis=1, keepdims=True)
+        lang = np.where(letters, np.array(network.langs, object)[mean.argmax(axis=1)], UND)
+        score = np.where(letters, mean.max(axis=1), 0.0)
+    return lang, np.clip(score, 0, 1)
+
+
+def has_letter():
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     """docs' rows as (doc_id, held_out, lang_pred, score). A null text, or one without a letter, is und with score 0; so
-    are all where nothing could be learned. A null doc_id is not held out."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    kinds = "doc_id long, held_out boolean, lang_pred string, score double"
+    are all where nothing could be learned. A null doc_id is not held out; rows that repeat a doc_id are judged each for itself."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text", has_letter().alias("letters"))
 
     def run(batches):
         for batch in in_blocks(batches, 1 << 20):
-            letters = batch.column("letters").to_numpy(zero_copy_only=False)
-            lang, score = np.full(batch.num_rows, UND, object), np.zeros(batch.num_rows)
-            if network is not None and letters.any():
-                buf, offs = texts_of(batch.column("text"))
-                win, doc = windows_of(buf, offs)
-                p = np.concatenate([network.forward(win[i : i + 64]) for i in range(0, len(win), 64)]).astype(np.float64)
-                mean = np.add.reduceat(p, np.searchsorted(doc, np.arange(batch.num_rows)), axis=0)
-                mean /= mean.sum(axis=1, keepdims=True)
-                lang = np.where(letters, np.array(network.langs, object)[mean.argmax(axis=1)], UND)
-                score = np.where(letters, mean.max(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "held_out", "lang_pred", "score"])
+            lang, score = _verdict(network, batch, batch.column("letters").to_numpy(zero_copy_only=False), "text")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang.tolist(), pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, kinds)
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Fits on docs (doc_id, text, lang; other columns are ignored) and predicts every row. An empty table gives none."""
-    small_batches(docs.sparkSession)
     return predict(docs, fit(docs))
 
 
-def with_language(docs: DataFrame) -> DataFrame:
-    """docs without the documents that have no language to tell: null texts and those without a letter."""
-    found = identify(docs).where(F.col("lang_pred") != UND).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_semi").select(*docs.columns)
+def with_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """docs without the rows that have no language to tell: null texts, those without a letter, and those whose likeliest language
+    has a score below min_score.
+
+    Each row is judged by its own text, whatever its doc_id, a null or a repeated one too. Where nothing could be learned (no row
+    has a lang, an empty table) every row with a letter stays.
+    """
+    network, place = fit(docs), docs.columns.index("text")
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).withColumnRenamed(f"c{place}", "text").where(has_letter())
+    schema = rows.schema
+
+    def run(batches):
+        for batch in in_blocks(batches, 1 << 20):
+            _, score = _verdict(network, batch, np.ones(batch.num_rows, bool), "text")
+            yield batch.filter(pa.array(score >= min_score))
+
+    return (rows.mapInArrow(run, schema) if network is not None else rows).toDF(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks_for, in_blocks, mix, prefix_hashes, small_batches, span_hashes, stored, text_bytes, texts_of, words_of
+from .common import LOWER, blocks_for, finished, in_blocks, mix, prefix_hashes, span_hashes, stored, text_bytes, texts_of, words_of
 
 CLASSES = 32
 #: Rows of the weight table for each kind of feature.
@@ -220,6 +220,7 @@ def _score(model: Maxent, tokens: np.ndarray, words: np.ndarray):
     return run
 
 
+@finished
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text; others are
     ignored).
@@ -228,7 +229,6 @@ def score(docs: DataFrame) -> DataFrame:
     repeat count as often. An empty table gives an empty result; without a training text all words are unknown.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     total = text_bytes(docs)
     # With fewer buckets than shuffle partitions a later step would deal them again.
     blocks, parts = blocks_for(total, BLOCK), max(blocks_for(total, PART), int(spark.conf.get("spark.sql.shuffle.partitions")))

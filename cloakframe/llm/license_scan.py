@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import finished, stored
 
 THRESHOLD = 0.7
 TERM = r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
@@ -127,6 +127,7 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
+@finished
 def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, path, own, score, licence, inherited_from) for each row of files (doc_id, path, text; others are ignored).
 
@@ -135,7 +136,6 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     path share its best notice. Ties fall to the first identifier, of a directory's licence files to the best score. An empty
     table gives an empty result.
     """
-    small_batches(files.sparkSession)
     files = files.select("doc_id", "path", "text")
     own = stored(declared(files.where("path is not null").select("path", "text"), templates, threshold), "declared")
     name, folder = F.element_at(F.split("path", "/"), -1), F.element_at(ancestors(F.col("path")), 1)

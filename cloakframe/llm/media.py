@@ -1,13 +1,15 @@
 """Media columns: payloads in archives, read through a Spark data source that plans byte ranges.
 
 An archive is one file of concatenated members (8-bit greyscale PNG, 64 samples a row, written losslessly) and a
-directory file beside it: 32 bytes for each member with its doc_id, offset, length and number of samples. The reader
-cuts each archive into byte ranges; a partition reads the members that begin in its range, in Arrow batches of bounded
-size, and opens the archive anew at a member's offset when reading it fails.
+directory file beside it: 40 bytes for each member with its doc_id, offset, length, number of text bytes and checksum, by offset.
+The reader cuts each archive into byte ranges; a partition finds its part of the directory by binary search, reads the members that
+begin in its range in Arrow batches of bounded size, and opens the archive anew at a member's offset when reading it fails or its
+checksum differs.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import time
@@ -19,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import in_blocks, small_batches, table_path, texts_of
+from .common import finished, in_blocks, table_path, texts_of
 
 SAMPLES = 64
 SPLIT_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
-ENTRY = "<qqqq"
+ENTRY = "<qqqqq"
+ENTRY_BYTES = 40
 #: Fixed by the PNG format.
 MAGIC = b"\x89PNG\r\n\x1a\n"
 
@@ -97,7 +100,7 @@ def write_archives(docs: DataFrame, folder: str) -> str:
             for i, a, b in zip(batch.column("doc_id").to_pylist(), offs[:-1].tolist(), offs[1:].tolist()):
                 media = encode(raw[a:b] + bytes(SAMPLES - (b - a) % SAMPLES if (b - a) % SAMPLES or a == b else 0))
                 out.write(media)
-                entries.append((i if i is not None else -(1 << 63), at, len(media), b - a))
+                entries.append((i if i is not None else -(1 << 63), at, len(media), b - a, zlib.crc32(media)))
                 at += len(media)
         if out is not None:
             out.close()
@@ -105,7 +108,7 @@ def write_archives(docs: DataFrame, folder: str) -> str:
                 d.write(b"".join(struct.pack(ENTRY, *e) for e in entries))
             yield pa.RecordBatch.from_pydict({"archive": [f"{folder.rstrip('/')}/{name}"], "members": [len(entries)], "bytes": [at]})
 
-    manifest = f"{folder.rstrip('/')}-manifest"
+    manifest = f"{folder.rstrip('/')}/manifest"
     docs.select("doc_id", "text").mapInArrow(write, "archive string, members long, bytes long").write.parquet(manifest)
     return manifest
 
@@ -138,8 +141,9 @@ class ArchiveReader(DataSourceReader):
             sizes = [(f"{self.folder.rstrip('/')}/{x.base_name[:-4]}", x.size) for x in found if x.base_name.endswith(".arc")]
         return [ByteRange(a, i, min(i + self.split, n)) for a, n in sorted(sizes) for i in range(0, n, self.split)] or [ByteRange("", 0, 0)]
 
-    def _member(self, files, path, handle, at, size):
-        """A member's bytes, and the handle to go on with: on an error the archive is opened anew at its offset."""
+    def _member(self, files, path, handle, at, size, check=None):
+        """A member's bytes, and the handle to go on with: on an error, or a checksum that differs, the archive is opened anew at
+        its offset."""
         for attempt in range(self.retries + 1):
             try:
                 if handle is None:
@@ -148,6 +152,8 @@ class ArchiveReader(DataSourceReader):
                 data = handle.read(size)
                 if len(data) != size:
                     raise OSError("the archive ends within a member")
+                if check is not None and zlib.crc32(data) != check:
+                    raise OSError("the member's checksum differs")
                 return data, handle, None
             except OSError as e:
                 handle, error = None, str(e)
@@ -155,16 +161,32 @@ class ArchiveReader(DataSourceReader):
                     time.sleep(0.05 * 2**attempt)
         return None, None, error
 
+    def _entries(self, files, path, begin, end):
+        """The directory's entries of the members that begin in begin:end. Only they are read, and a few to find them."""
+        for attempt in range(self.retries + 1):
+            try:
+                with files.open_input_file(path) as d:
+                    n = d.size() // ENTRY_BYTES
+
+                    def at(k):
+                        d.seek(k * ENTRY_BYTES)
+                        return struct.unpack(ENTRY, d.read(ENTRY_BYTES))[1]
+
+                    lo, hi = (bisect.bisect_left(range(n), x, key=at) for x in (begin, end))
+                    d.seek(lo * ENTRY_BYTES)
+                    return np.frombuffer(d.read((hi - lo) * ENTRY_BYTES), np.int64).reshape(-1, 5).tolist()
+            except OSError:
+                if attempt == self.retries:
+                    raise
+                time.sleep(0.05 * 2**attempt)
+
     def read(self, partition):
         if not partition.archive:
             return
         files, path = _fs(partition.archive)
-        with files.open_input_file(path + ".dir") as d:
-            index = np.frombuffer(d.read(), np.int64).reshape(-1, 4)
-        lo, hi = np.searchsorted(index[:, 1], [partition.begin, partition.end])
         handle, rows, held = None, [], 0
-        for doc, at, size, n in index[lo:hi].tolist():
-            data, handle, error = self._member(files, path + ".arc", handle, at, size)
+        for doc, at, size, n, check in self._entries(files, path + ".dir", partition.begin, partition.end):
+            data, handle, error = self._member(files, path + ".arc", handle, at, size, check)
             rows.append((None if doc == -(1 << 63) else doc, n, data, error))
             held += size
             if held >= BATCH_BYTES:
@@ -196,7 +218,7 @@ class MediaArchives(DataSource):
 def read_archives(spark: SparkSession, folder: str, manifest: str | None = None, **options) -> DataFrame:
     spark.dataSource.register(MediaArchives)
     reader = spark.read.format("media_archives").option("path", folder)
-    for k, v in ({"manifest": manifest} if manifest else {} | options).items():
+    for k, v in {**({"manifest": manifest} if manifest else {}), **options}.items():
         reader = reader.option(k, str(v))
     return reader.load()
 
@@ -226,6 +248,7 @@ _NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
 
+@finished
 def media_columns(docs: DataFrame) -> DataFrame:
     """Stores every text of docs (doc_id, text; other columns are ignored) as media and reads the features back.
 
@@ -233,7 +256,6 @@ def media_columns(docs: DataFrame) -> DataFrame:
     values; an empty table gives an empty result; a null doc_id stays null.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = table_path(spark, "media")
     manifest = write_archives(docs, folder)
     return media_features(read_archives(spark, folder, manifest))

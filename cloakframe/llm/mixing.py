@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, finished, stored
 
 COPIES = 3
 #: Rows of one hash range, about.
@@ -68,6 +68,7 @@ def _bins(rows: DataFrame, low: float, width: float) -> list[tuple[int, int]]:
     return sorted(tuple(x) for x in rows.groupBy(at.alias("b")).agg(F.sum("size").alias("s")).collect())
 
 
+@finished
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), copies: int = COPIES) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for each row of docs (doc_id, text, source; others are ignored).
 
@@ -112,6 +113,7 @@ def _taken(q: DataFrame, beyond, copies: int) -> DataFrame:
     return q.withColumn("copies", n.cast("int")).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@finished
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), copies: int = COPIES) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows that repeat a doc_id are all taken as often as one of them."""
     n = mix(docs, weights, copies).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_blocks, small_batches, stored
+from .common import finished, in_blocks, stored
 
 LENGTH = 2048
 END_ID = 1
@@ -180,6 +180,7 @@ def _cut(length: int):
 _PIECE_NAMES = [x.split(" ")[0] for x in _PIECES.split(", ")]
 
 
+@finished
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Pieces of docs (doc_id, text, source; other columns are ignored) in sequences of length tokens.
 
@@ -187,7 +188,6 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     An empty table gives no piece. Only the last sequence can be short; it is padded to length unless its size is a
     power of two.
     """
-    small_batches(docs.sparkSession)
     tokens = stored(tokenised(docs, path or tokenizer_path(), end_id), "tokens")
     sums = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "sums")
     by_source = sums.groupBy("source").agg(F.sum("n").alias("own"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_blocks, mix, prefix_hashes, small_batches, span_hashes, texts_of, words_of
+from .common import in_blocks, mix, prefix_hashes, span_hashes, texts_of, words_of
 
 #: The fit's bounds: labelled documents of each quality, and lines of each, from any place of the text.
 DOCS_PER_LABEL, LINES_PER_DOC = 1500, 64
@@ -213,7 +213,6 @@ def judge(docs: DataFrame, field: LineField) -> DataFrame:
 
     A null or blank text has no words and fails. Without lines the share is 0.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in in_blocks(batches):
@@ -232,5 +231,4 @@ def judge(docs: DataFrame, field: LineField) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits the field on labels (doc_id, quality) and judges every row of docs. An empty table gives an empty result."""
-    small_batches(docs.sparkSession)
     return judge(docs, fit(docs, labels))

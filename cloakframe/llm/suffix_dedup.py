@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, in_blocks, mix, prefix_hashes, small_batches, span_hashes, stored, text_bytes, texts_of
+from .common import blocks_for, finished, in_blocks, mix, prefix_hashes, span_hashes, stored, text_bytes, texts_of
 
 LENGTH = 100
 #: Grams in a string: a larger number sends fewer, longer runs.
@@ -358,6 +358,7 @@ def _removed(length: int, keep: bool):
     return run
 
 
+@finished
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs (doc_id, text; others are ignored).
 
@@ -366,7 +367,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) ->
     removed from it nor because of it. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = text_bytes(docs)
     # The texts are dealt by doc_id once, into a table that later joins on doc_id read without another exchange.
