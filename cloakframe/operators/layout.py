@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rewrite import spliced
+from .rewrite import PAGE_NUMBER, PAGE_OF, spliced
 
 
 def run_offsets(runs: DataFrame) -> DataFrame:
@@ -27,6 +27,13 @@ def splice_runs(runs: DataFrame, replaced: DataFrame) -> DataFrame:
     return out.select("doc_id", "seg_no", "run_no", F.when(F.col("_c").isNull(), F.col("text")).otherwise(spliced(F.col("text"), F.col("_c"))).alias("text"))
 
 
+def blank_page_numbers(runs: DataFrame) -> DataFrame:
+    """runs with empty texts where their whole segment is a page number; spaces around it don't count."""
+    segment = Window.partitionBy("doc_id", "seg_no").orderBy("run_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = F.array_join(F.collect_list(F.coalesce("text", F.lit(""))).over(segment), "")
+    return runs.withColumn("_whole", whole).withColumn("text", F.when(F.col("_whole").rlike(PAGE_NUMBER) | F.col("_whole").rlike(PAGE_OF), "").otherwise(F.col("text"))).drop("_whole")
+
+
 def flat_words(boxes: DataFrame) -> DataFrame:
     """boxes (doc_id, block, par, line, word_no, left, top, width, height, text) with start_pos and end_pos in the page's flat
     text: words of a line are parted by a space, lines by a line feed; blank words go."""

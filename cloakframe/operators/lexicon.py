@@ -75,6 +75,10 @@ def persons(df: DataFrame, dictionary: DataFrame, langs=("pl",), lemmas: DataFra
     return _plain(whole, "imiona_nazwiska").unionByName(_plain(last, "imiona_nazwiska"))
 
 
+#: Recognisers by dictionary, by category: each takes (df, dictionary, langs, lemmas).
+RECOGNISERS = {"miasta": cities, "imiona_nazwiska": persons}
+
+
 def as_extra(found: DataFrame) -> DataFrame:
     """(doc_id, extra): matches to hand to spans.detect beside the patterns'."""
     from .categories import ALL, BY_CODE

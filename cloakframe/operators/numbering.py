@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.styles import check, placeholder
@@ -11,17 +11,46 @@ from ..functions.styles import check, placeholder
 def number(found: DataFrame, scope: str = "doc_id", order=("doc_id", "start_pos")) -> DataFrame:
     """found with number and first_value: a key is (category, lower-case value); numbers follow first occurrences.
 
-    Keys are reduced to their first place before they are ranked, so a large case ranks its distinct values only.
+    The spans are dealt by their key once. Both the reduction of keys to their first place and the join back read that one
+    exchange, so what finds the spans runs once, and a large case ranks its distinct values only.
     """
     key = [scope, "category", "_key"]
-    rows = found.withColumn("_key", F.lower("value"))
-    first = rows.groupBy(*key).agg(F.min(F.struct(*order, F.col("value").alias("_v"))).alias("_first"))
+    rows = found.withColumn("_key", F.lower("value")).repartition(*[F.col(c) for c in key])
+    # The whole row is in the minimum, so that both readers of the exchange ask for the same columns.
+    rest = [c for c in rows.columns if c not in {*key, *order, "value"}]
+    first = rows.groupBy(*key).agg(F.min(F.struct(*order, F.col("value").alias("_v"), *rest)).alias("_first"))
     first = first.withColumn("number", F.row_number().over(Window.partitionBy(scope, "category").orderBy("_first"))).withColumn("first_value", F.col("_first._v"))
     same = " and ".join(f"f.{c} <=> g.{c}" for c in key)
     out = rows.alias("f").join(first.alias("g"), F.expr(same)).select("f.*", "g.number", "g.first_value")
     return out.drop("_key")
 
 
+def _once(rows: DataFrame, value, name: str) -> DataFrame:
+    """rows with a column: exploding an array of one keeps the optimiser from copying value into each place that uses it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def number_rows(rows: DataFrame, style: str = "pelny_token") -> DataFrame:
+    """rows (_m: an array of matches by place) with _z, the matches with end, number, first_value and placeholder, each row a scope of
+    its own: no exchange."""
+    check(style)
+    key = lambda m: F.concat(m["category"], F.lit("\u0001"), F.lower(m["value"]))
+    rows = _once(rows, F.transform("_m", key), "_q")
+    rows = _once(rows, F.array_distinct("_q"), "_k")
+    of = lambda k: F.substring_index(k, "\u0001", 1)
+    ranked = F.flatten(F.transform(F.array_distinct(F.transform("_k", of)), lambda c: F.transform(F.filter("_k", lambda k: of(k) == c), lambda k, i: F.struct(k.alias("k"), (i + 1).cast("int").alias("n")))))
+    rows = _once(rows, ranked, "_n")
+    rows = _once(rows, F.transform("_n", lambda e: e["k"]), "_o")
+
+    def named(m, i):
+        k = F.element_at("_q", (i + 1).cast("int"))
+        n = F.element_at("_n", F.array_position("_o", k).cast("int"))["n"]
+        first = F.element_at("_m", F.array_position("_q", k).cast("int"))["value"]
+        return F.struct(m["start"].alias("start_pos"), (m["start"] - m["less"]).alias("end_pos"), m["category"].alias("category"), m["value"].alias("value"), n.alias("number"), first.alias("first_value"), placeholder(style, m["category"], n, first).alias("placeholder"))
+
+    return _once(rows, F.transform("_m", named), "_z").drop("_q", "_k", "_n", "_o")
+
+
 def placeholders(numbered: DataFrame, style: str = "pelny_token", scope: str = "doc_id", order=("doc_id", "start_pos"), compatible: bool = False) -> DataFrame:
     """numbered with placeholder. Different values with equal initials get (2), (3) and so on; compatible gives all but the
     first (2), so that the last one's mapping wins."""
@@ -47,8 +76,11 @@ def mapping(named: DataFrame, scope: str = "doc_id", order=("doc_id", "start_pos
 def audit(found: DataFrame, scope: str = "doc_id", order=("doc_id", "start_pos")) -> DataFrame:
     """The mapping of removed values: a key for each occurrence, counted over the scope."""
     n = F.row_number().over(Window.partitionBy(scope).orderBy(*order))
-    key = F.concat(F.lit("__usuniete_"), n.cast("string"), F.lit("__ ("), F.col("category"), F.lit(")"))
-    return found.select(scope, key.alias("placeholder"), "value", "category")
+    return found.select(scope, removed_key(n, F.col("category")).alias("placeholder"), "value", "category")
+
+
+def removed_key(n: Column, category: Column) -> Column:
+    return F.concat(F.lit("__usuniete_"), n.cast("string"), F.lit("__ ("), category, F.lit(")"))
 
 
 def counts(found: DataFrame, *by: str) -> DataFrame:

@@ -58,12 +58,17 @@ def resolve(found: Column) -> Column:
     return F.aggregate(F.array_sort(found), zero, step, lambda a: a["kept"])
 
 
+def found_in(text: Column, categories=None, extra: Column | None = None, resolved: bool = True) -> Column:
+    """The matches of a text; extra: more of them, such as a language model's, of which the chosen categories count."""
+    found = matches(text, categories)
+    if extra is not None:
+        wanted = chosen(categories)
+        found = F.concat(found, F.filter(F.coalesce(extra, F.array().cast(MATCH)), lambda m: m["category"].isin(*wanted)))
+    return resolve(found) if resolved else found
+
+
 def detect(df: DataFrame, categories=None, resolved: bool = True, keys=("doc_id",), extra: Column | None = None) -> DataFrame:
     """One row for each span: keys, start_pos, end_pos, category, value. A null text has none. extra: more matches of a row,
-    such as a language model's."""
-    found = matches(F.col("text"), categories)
-    if extra is not None:
-        found = F.concat(found, F.coalesce(extra, F.array().cast(MATCH)))
-    found = resolve(found) if resolved else found
-    rows = df.select(*keys, F.explode(found).alias("m"))
+    such as a language model's; those of other categories than the chosen ones are left out."""
+    rows = df.select(*keys, F.explode(found_in(F.col("text"), categories, extra, resolved)).alias("m"))
     return rows.select(*keys, F.col("m.start").alias("start_pos"), (F.col("m.start") - F.col("m.less")).alias("end_pos"), "m.category", "m.value")

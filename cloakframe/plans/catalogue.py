@@ -348,9 +348,12 @@ def lemma_lookup(spark, sf_dir):
 
 
 @query("sentence_start_guard", _dossier_sql("""SELECT doc_id, i AS place, CASE WHEN p = '' THEN true WHEN ends_with(p, chr(10) || chr(10)) THEN true WHEN ends_with(p, chr(10)) THEN false ELSE substr(p, -1, 1) IN ('.', '!', '?') END AS starts
-FROM (SELECT doc_id, i, regexp_replace(substr(text, 1, i), '[ \\t]+$', '') AS p FROM dossier, (SELECT unnest(range(0, 200, 5))::INTEGER AS i))""".replace("\\\\", "\\")))
+FROM (SELECT doc_id, i, regexp_replace(substr(text, 1, i), '[ \t]+$', '') AS p FROM (SELECT doc_id, text, unnest(range(0, length(text)))::INTEGER AS i FROM dossier)
+ WHERE regexp_matches(substr(text, i + 1, 1), '[A-ZŁŚŻŹĆŃÓĄĘ]') AND (i = 0 OR NOT regexp_matches(substr(text, i, 1), '[\\p{L}\\p{N}_]')))"""))
 def sentence_start_guard(spark, sf_dir):
-    rows = dossier(spark, sf_dir).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(195), F.lit(5))))
+    """Whether a sentence begins there, for each capital that begins a word of a text."""
+    places = F.transform(spans.spans(F.col("text"), rf"(?U)\b{lexicon.CAPITAL}"), lambda m: m["start"])
+    rows = dossier(spark, sf_dir).withColumn("place", F.explode(places))
     return rows.select("doc_id", "place", lexicon.sentence_start(F.col("text"), F.col("place")).alias("starts"))
 
 
@@ -386,24 +389,32 @@ def conversation_pii_by_role(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ layout
-_RUNS = "SELECT doc_id, 0 AS seg_no, k AS run_no, substr(text, k * 17 + 1, 17) AS text FROM (SELECT doc_id, substr(text, 1, 136) AS text FROM dossier), (SELECT unnest(range(0, 8))::INTEGER AS k)"
+_RUNS = "SELECT doc_id, 0 AS seg_no, k AS run_no, substr(text, k * 17 + 1, 17) AS text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 16) // 17))::INTEGER AS k FROM dossier)"
 
 
 def _runs(spark, sf_dir):
-    d = dossier(spark, sf_dir).select("doc_id", F.substring("text", 1, 136).alias("text"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("run_no"))
+    last = F.floor((F.length("text") + 16) / 17).cast("int") - 1
+    d = dossier(spark, sf_dir).select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("run_no"))
     return d.select("doc_id", F.lit(0).alias("seg_no"), "run_no", F.substr("text", F.col("run_no") * 17 + 1, F.lit(17)).alias("text"))
 
 
-_FIRST = "regexp_extract(text, 'NIP ([0-9]+)', 1)"
+_SPLICED = (("NIP ", 3, 13, "[NIP_1]"), ("KRS ", -1, 13, "[KRS_1]"))
 
 
-@query("run_splice", _dossier_sql(f""", u AS ({_RUNS}), z AS (SELECT doc_id, instr(text, 'NIP ') + 3 AS s, instr(text, 'NIP ') + 13 AS e FROM dossier)
-SELECT u.doc_id, seg_no, run_no, CASE WHEN run_no * 17 + length(text) <= s OR run_no * 17 >= e THEN text
- ELSE substr(text, 1, greatest(s - run_no * 17, 0)) || CASE WHEN run_no = s // 17 THEN '[NIP_1]' ELSE '' END || substr(text, (least(e - run_no * 17, length(text)) + 1)::BIGINT) END AS text FROM u JOIN z ON u.doc_id = z.doc_id""").replace(") , u AS", "), u AS"))
+def _cut_sql(mark: str, lo: int, hi: int, token: str) -> str:
+    """A run without what the span covers, as a piece of SQL over text, run_no and the whole text."""
+    s, e = f"(instr(whole, '{mark}') + {lo})", f"(instr(whole, '{mark}') + {hi})"
+    return f"""CASE WHEN run_no * 17 + 17 <= {s} OR run_no * 17 >= {e} THEN text
+ ELSE substr(text, 1, greatest({s} - run_no * 17, 0)) || CASE WHEN run_no = {s} // 17 THEN '{token}' ELSE '' END || substr(text, (least({e} - run_no * 17, length(text)) + 1)::BIGINT) END"""
+
+
+@query("run_splice", _dossier_sql(f""", u AS ({_RUNS})
+SELECT u.doc_id, seg_no, run_no, CASE WHEN run_no * 17 < instr(whole, 'KRS ') - 18 THEN {_cut_sql(*_SPLICED[0])} ELSE {_cut_sql(*_SPLICED[1])} END AS text
+FROM u JOIN (SELECT doc_id, text AS whole FROM dossier) d ON u.doc_id = d.doc_id""").replace(") , u AS", "), u AS"))
 def run_splice(spark, sf_dir):
-    at = F.instr("text", "NIP ")
-    z = dossier(spark, sf_dir).select("doc_id", F.lit(0).alias("seg_no"), (at + 3).alias("start_pos"), (at + 13).alias("end_pos"), F.lit("[NIP_1]").alias("placeholder"))
-    return layout.splice_runs(_runs(spark, sf_dir), z)
+    d = dossier(spark, sf_dir)
+    z = [d.select("doc_id", F.lit(0).alias("seg_no"), (F.instr("text", m) + lo).alias("start_pos"), (F.instr("text", m) + hi).alias("end_pos"), F.lit(t).alias("placeholder")) for m, lo, hi, t in _SPLICED]
+    return layout.splice_runs(_runs(spark, sf_dir), z[0].unionByName(z[1]))
 
 
 def _boxes(spark, sf_dir):

@@ -18,5 +18,5 @@ SELECT o_orderkey AS doc_id, o_custkey AS case_id,
  || ', VIN WVWZZZ1JZXW' || lpad(cast(o_orderkey AS string), 6, '0') || ', AE:PL-AB1C2-D3E4F-G5H6I-J' || cast(o_orderkey % 10 AS string)
  || ', @jan_' || cast(o_custkey AS string) || ', prawo jazdy nr ' || lpad(cast(o_orderkey AS string), 5, '0') || '/24, znak sprawy: AB.' || cast(o_orderkey AS string) || '.24, https://x.example/' || cast(o_orderkey AS string)
  || ', umowa Alpha Sp. z o.o. i Urząd Miasta, auto WA ' || lpad(cast(o_orderkey % 100000 AS string), 5, '0') || '.' || chr(10) || 'Strona 1 z 3' AS text
-FROM orders WHERE o_orderkey % 10 = 0
+FROM orders
 """
