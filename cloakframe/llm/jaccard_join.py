@@ -3,15 +3,16 @@
 1. Every text becomes a set of hashed word shingles. Equal sets are one class, so copies are never paired.
 2. The shingles, without texts, are dealt by hash into buckets that find which occur in two documents or more.
    A shingle of one document can't be shared, so only sets with at least `threshold` of shared shingles go on.
-3. The global order is (document frequency by powers of two, hash). Two linked sets share a shingle among the
-   first n - ceil(t n) + 1 of each; unshared ones come first and cost nothing.
-4. Candidates of a shingle are a star around one document. Its pairs are verified by fragments: the global order is
-   cut at pivots, each fragment counts its partial overlap on its own, and the counts are summed per pair.
+3. The global order is (document frequency by powers of two, hash), cut at pivots into fragments: a set is a row for each fragment that
+   it has shingles in. Two linked sets share a shingle among the first n - ceil(t n) + 1 of each; unshared ones come first and cost
+   nothing.
+4. Candidates of a shingle are a star around one document. Each fragment counts the partial overlap of its candidates in a task of its
+   own, and the partial counts are summed per pair.
 5. Where a star leaves a shingle's documents in several components, the pairs between components are verified too;
    pairs inside a component can't change it. So no link between components is lost and a large group of near
-   copies costs its size, not its square.
+   copies costs its size, not its square. A shingle of many such documents is dealt to blocks; each pair of blocks is a key of its own.
 
-A 64-bit hash stands for a shingle; 58 bits of it are compared.
+A 64-bit hash stands for a shingle; of it 48 bits are compared at least, 58 from 1024 buckets on. Sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ PER_BUCKET = 2_000_000
 #: Bytes of text whose sets are sent together.
 SET_BLOCK = 16 << 20
 FRAGMENTS = 8
+#: Documents of one shingle that are paired with each other in one block.
+BLOCK = 1024
 ID_BITS = 58
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -69,20 +72,20 @@ def _deal(buckets: int, width: int):
     """Sets of many documents as a few wide rows, one for each bucket: ids, set sizes there and 48 bits of each hash."""
     bits = (buckets - 1).bit_length()
 
-    def send(block, ids, sizes, prints, sets):
+    def send(block, ids, keys, sizes, prints, sets):
         order = {}
         for k, (i, p) in enumerate(zip(ids, prints)):
-            if p not in order or i < ids[order[p]]:
-                order[p] = k  # copies in a block send their shingles once, by the smallest id
+            if p not in order or (i, keys[k]) < (ids[order[p]], keys[order[p]]):
+                order[p] = k  # copies in a block send their shingles once, by the smallest row
         lead = sorted(order.values())
-        sig = pa.array([np.array(ids, np.int64).tobytes() + np.array(sizes, np.int64).tobytes() + b"".join(prints)], pa.binary())
+        sig = pa.array([b"".join(np.array(x, np.int64).tobytes() for x in (ids, keys, sizes)) + b"".join(prints)], pa.binary())
         flat = np.concatenate([sets[k] for k in lead]) if lead else np.zeros(0, np.uint64)
         of = np.repeat(np.arange(len(lead)), [len(sets[k]) for k in lead])
         where = (flat >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(flat), np.int64)
         by = np.argsort(where, kind="stable")
         flat, of, where = flat[by], of[by], where[by]
         cut = np.searchsorted(where, np.arange(buckets + 1))
-        lead_ids = np.array([ids[k] for k in lead], np.int64)
+        lead_ids = np.array(lead, np.int64)  # rows are named by their place in the block
         rows = {n: [] for n in _SENT.names}
         home = int(ids[0]) % buckets
         for x in range(buckets):
@@ -102,22 +105,23 @@ def _deal(buckets: int, width: int):
         return pa.RecordBatch.from_pydict(rows, schema=_SENT)
 
     def run(batches):
-        ids, sizes, prints, sets, held = [], [], [], [], 0
+        ids, keys, sizes, prints, sets, held = [], [], [], [], [], 0
         block = TaskContext.get().partitionId() << 32
         for batch in in_blocks(batches):
             buf, offs = texts_of(batch.column("text"))
-            for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(buf, offs, width)):
+            for i, k, s in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), shingle_sets(buf, offs, width)):
                 ids.append(i)
+                keys.append(k)
                 sizes.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sets.append(s)
             held += len(buf)
             if held >= SET_BLOCK:
-                yield send(block, ids, sizes, prints, sets)
+                yield send(block, ids, keys, sizes, prints, sets)
                 block += 1
-                ids, sizes, prints, sets, held = [], [], [], [], 0
+                ids, keys, sizes, prints, sets, held = [], [], [], [], [], 0
         if ids:
-            yield send(block, ids, sizes, prints, sets)
+            yield send(block, ids, keys, sizes, prints, sets)
 
     return run
 
@@ -156,7 +160,7 @@ def _shared(buckets: int):
     return run
 
 
-_SETS = "doc_id long, n long, print1 long, print2 long, tokens array<long>"
+_SETS = "doc_id long, row long, n long, print1 long, print2 long, tokens array<long>"
 
 
 def _assembled(percent: int):
@@ -169,13 +173,13 @@ def _assembled(percent: int):
         by = np.lexsort((tokens, owner))
         owner, tokens = owner[by], tokens[by]
         for sig in filter(None, table.column("sig").to_pylist()):
-            n = len(sig) // 32
-            ids, sizes = np.frombuffer(sig, np.int64, 2 * n).reshape(2, n)
-            prints = np.frombuffer(sig, np.int64, 2 * n, 16 * n).reshape(n, 2)
-            lo, hi = np.searchsorted(owner, ids), np.searchsorted(owner, ids, "right")
+            n = len(sig) // 40
+            ids, keys, sizes = np.frombuffer(sig, np.int64, 3 * n).reshape(3, n)
+            prints = np.frombuffer(sig, np.int64, 2 * n, 24 * n).reshape(n, 2)
+            lo, hi = np.searchsorted(owner, np.arange(n)), np.searchsorted(owner, np.arange(n), "right")
             enough = (100 * (hi - lo) >= percent * sizes) & (hi > lo)
             lists = pa.array([tokens[i:j] if e else None for i, j, e in zip(lo, hi, enough)], pa.list_(pa.int64()))
-            out.append(pa.table({"doc_id": ids, "n": sizes, "print1": prints[:, 0], "print2": prints[:, 1], "tokens": lists}))
+            out.append(pa.table({"doc_id": ids, "row": keys, "n": sizes, "print1": prints[:, 0], "print2": prints[:, 1], "tokens": lists}))
         return pa.concat_tables(out)
 
     return run
@@ -190,26 +194,25 @@ def _pivots(sets: DataFrame, fragments: int) -> list[int]:
     return sorted({x for x in found or () if x is not None})
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * intersection >= percent * union. Each fragment counts its part alone; a pair is
-    the sum of its fragments' counts."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("fragments").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("fragments").alias("y"))
-    partial = F.zip_with("x", "y", lambda p, q: F.size(F.array_intersect(p, q)))
-    # Exploding an array of one keeps the optimiser from counting again in each place that uses the sum.
-    common = F.explode(F.array(F.aggregate(partial, F.lit(0), lambda t, k: t + k).cast("long"))).alias("common")
-    counted = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common)
+def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those with 100 * intersection >= percent * union. Each fragment counts its part of a pair in a task of its
+    own; a pair is the sum of its fragments' counts."""
+    left = segments.select(F.col("doc_id").alias("a"), "f", F.col("part").alias("x"))
+    right = segments.select(F.col("doc_id").alias("b"), "f", F.col("part").alias("y"))
+    dealt = pairs.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    partial = dealt.join(left, ["a", "f"]).join(right, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("c"))
+    counted = partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("common"))
     return counted.where(F.expr(f"100 * common >= {int(percent)} * (na + nb - common)")).select("a", "b")
 
 
-def _fragmented(sets: DataFrame, pivots: list[int]) -> DataFrame:
-    """sets with their tokens cut at the pivots of the global order."""
+def _segments(sets: DataFrame, pivots: list[int]) -> DataFrame:
+    """(doc_id, f, part): the tokens of each set in each fragment of the global order, where it has any."""
     cuts = [None, *pivots, None]
     parts = []
     for lo, hi in zip(cuts, cuts[1:]):
         inside = lambda t, lo=lo, hi=hi: (F.lit(True) if lo is None else t >= F.lit(lo)) & (F.lit(True) if hi is None else t < F.lit(hi))
         parts.append(F.filter("tokens", _closed(inside)))
-    return sets.withColumn("fragments", F.array(*parts))
+    return sets.select("doc_id", F.posexplode(F.array(*parts)).alias("f", "part")).where(F.size("part") > 0)
 
 
 def _closed(f):
@@ -235,62 +238,82 @@ def _prefix(percent: int) -> Column:
     return F.expr(f"slice(tokens, 1, greatest(0, {n} - {int(percent)} * {n} div 100 + 1 - ({n} - size(tokens))))")
 
 
-@finished
-def ngram_jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
+def _apart(apart: DataFrame) -> DataFrame:
+    """apart (token, doc_id, n, s, p, component), each token's documents in blocks: a row for each pair of blocks that it is in."""
+    several = apart.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = apart.join(several.where("c1 < c2").select("token", "blocks"), "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
 
-    Null and blank texts have no shingles and are their own component. A row without a doc_id can't be named: it comes
-    back with nulls. A doc_id that repeats with the same text is
-    one document in two rows. An empty table gives an empty result. Ties (equal sets) are one class.
-    """
-    spark = docs.sparkSession
-    nameless = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+def _members(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(doc_id, row, n, first) of every row of docs (doc_id, row, text): first is the smallest (doc_id, row) of its component."""
     wanted = blocks_for(text_bytes(docs) // 6, PER_BUCKET)
     buckets = 1 << (wanted - 1).bit_length()
     sent = docs.mapInArrow(_deal(buckets, width), "bucket int, block long, ids binary, sig binary, counts binary, high binary, low binary")
     found = sent.groupBy("bucket").applyInArrow(_shared(buckets), _FOUND)
     found = stored(found.groupBy("block").applyInArrow(_assembled(percent), _SETS), "shingles")
-    sig = found.select("doc_id", "n", "print1", "print2")
-    classes = sig.where("n > 0").groupBy("print1", "print2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    sig = found.select("doc_id", "row", "n", "print1", "print2")
+    prints = ["print1", "print2"]
+    classes = sig.where("n > 0").groupBy(*prints).agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.first("n").alias("n"))
+    # Numbered as they are written: a class is its number from here on.
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     least = F.expr(f"cast((n * {int(percent)} + 99) div 100 as int)")
-    sets = found.where("tokens is not null").select("doc_id", "tokens").dropDuplicates(["doc_id"])
-    sets = sets.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id").where(F.size("tokens") >= least)
-    sets = stored(sets, "sets")
+    of = classes.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.row").alias("row"), *prints, "node")
+    sets = found.where("tokens is not null").join(of, ["doc_id", "row", *prints]).dropDuplicates(["doc_id", "row", *prints])
+    sets = stored(sets.select(F.col("node").alias("doc_id"), "n", "tokens").where(F.size("tokens") >= least), "sets")
     sets = stored(_shared_among(sets, percent, least), "sets")
-    sets = stored(_fragmented(sets, _pivots(sets, FRAGMENTS)), "sets")
+    segments = stored(_segments(sets, _pivots(sets, FRAGMENTS)), "segments")
     # A document's other shingles are in no other set: they bound what two sets can share, and how small their union can be.
     prefix = sets.select("doc_id", "n", F.size("tokens").cast("long").alias("s"), F.explode(_prefix(percent)).alias("token"))
     star = prefix.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
     fits = F.expr(f"100 * least(sa, sb) >= {int(percent)} * (na + nb - least(sa, sb))")
     spokes = prefix.join(star.select("token", "a"), "token").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).distinct()
     pairs = spokes.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.size("tokens").cast("long").alias("sa")), "a").where(fits).select("a", "b", "na", "nb")
-    links = stored(_verified(pairs, sets, percent), "links")
-    found = components(links)
+    links = stored(_verified(pairs, segments, percent), "links")
+    grouped = components(links)
 
     # What the stars left apart: pairs between components of one shingle.
-    of = sets.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    of = sets.select("doc_id").join(grouped, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     apart = prefix.join(of, "doc_id")
-    several = apart.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("token")
-    apart = stored(apart.join(several, "token"), "apart")
-    apart = apart.join(apart.groupBy("doc_id").agg(F.collect_list("token").alias("p")), "doc_id")
-    x = apart.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("p").alias("pa"), F.col("component").alias("ca"))
-    y = apart.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("p").alias("pb"), F.col("component").alias("cb"))
+    apart = stored(_apart(apart), "apart")
+    held = apart.select("doc_id", "token").distinct().groupBy("doc_id").agg(F.collect_list("token").alias("p"))
+    apart = apart.join(held, "doc_id")
+    named = lambda k: [F.col(c).alias(f"{n}{k}") for c, n in (("doc_id", "d"), ("n", "n"), ("s", "s"), ("p", "p"), ("component", "c"), ("block", "block_"))]
+    x, y = (apart.select("token", "i", "j", *named(k)) for k in "ab")
     # Two sets meet at the first token that their prefixes share, once.
-    once = (F.col("ca") < F.col("cb")) & fits & (F.array_min(F.array_intersect("pa", "pb")) == x["token"])
-    pairs = x.join(y, (x["token"] == y["token"]) & once).select("a", "b", "na", "nb")
-    more = _verified(pairs, sets, percent)
-    found = components(links.unionByName(more))
+    once = F.expr("ca < cb and (i = j or block_a <> block_b)") & fits & (F.array_min(F.array_intersect("pa", "pb")) == F.col("token"))
+    pairs = x.join(y, ["token", "i", "j"]).where(once).select(F.col("da").alias("a"), F.col("db").alias("b"), "na", "nb")
+    grouped = components(links.unionByName(stored(_verified(pairs, segments, percent), "links")))
+
+    whole = classes.join(grouped, "node", "left").select(*prints, "rep", F.coalesce("component", "node").alias("component"))
+    whole = whole.join(whole.groupBy("component").agg(F.min("rep").alias("first")), "component").select(*prints, "first")
+    return sig.join(whole, prints, "left").select("doc_id", "row", "n", F.coalesce("first", F.struct("doc_id", "row")).alias("first"))
+
 
-    member = sig.join(classes.select("print1", "print2", "rep"), ["print1", "print2"], "left")
-    member = member.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    member = member.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return member.unionByName(nameless)
+def _named(docs: DataFrame) -> DataFrame:
+    """Rows with a doc_id; rows that share it are told apart by their texts."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+
+
+@finished
+def ngram_jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
+
+    Null and blank texts have no shingles and are their own component. A row without a doc_id can't be named: it comes
+    back with nulls. Rows that repeat a doc_id are documents of their own if their texts differ, else one document in two rows. An
+    empty table gives an empty result. Ties (equal sets) are one class.
+    """
+    nameless = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    found = _members(_named(docs), percent, width).select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
+    return found.unionByName(nameless)
 
 
 @finished
 def keep_one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id. Rows that repeat a doc_id stay as they are."""
-    found = ngram_jaccard_components(docs, percent, width)
-    extra = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_extra")).distinct()
-    return docs.join(extra, F.col("doc_id") == F.col("_extra"), "left_anti")
+    """docs without the rows that aren't the first of their component, by doc_id and then by the hash of the text. Rows equal in both stay
+    or go together; rows without a doc_id, or without a word, stay."""
+    found = _members(_named(docs), percent, width)
+    extra = found.where("first.doc_id <> doc_id or first.row <> row").select(F.col("doc_id").alias("_extra"), F.col("row").alias("_row")).distinct()
+    plain = docs.toDF(*[c if c in ("doc_id", "text") else f"_{k}" for k, c in enumerate(docs.columns)]).withColumn("_key", F.xxhash64("text"))
+    return plain.join(extra, F.expr("doc_id = _extra and _key = _row"), "left_anti").drop("_key").toDF(*docs.columns)
