@@ -12,9 +12,11 @@ strings always meet in one shard.
    doubling that sorts only groups that are still tied), and common prefixes by Kasai's rule in the permuted form: a
    suffix whose left neighbour has the same predecessor shifted by one has one byte less, so only the others are
    compared. Starts between which all common prefixes reach `length` are equal strings; all but the first are removed.
-4. Where there are many blocks, shards are split by block first; their first occurrences meet in a second round.
+4. Where there are many blocks, shards are split by block, each part with a suffix array of its own. What is first in its part is
+   merged across the parts: a part's starts, in the order of their suffixes, are looked up by binary search among those merged before,
+   string against string; of equal ones the earlier stays.
 
-Grams are 64-bit hashes; strings are compared byte by byte in the suffix array, but whole equal run texts by 64-bit hashes.
+Grams are 64-bit hashes that say which strings may meet; whether they are equal is decided by their bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, finished, in_blocks, mix, prefix_hashes, span_hashes, stored, text_bytes, texts_of
+from .common import blocks_for, bucketed, finished, in_blocks, mix, prefix_hashes, span_hashes, stored, text_bytes, texts_of
 
 LENGTH = 100
 #: Grams in a string: a larger number sends fewer, longer runs.
@@ -185,7 +187,7 @@ def _send(buckets: int, length: int):
     def run(batches):
         for batch in in_blocks(batches):
             buf, offs = texts_of(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column("row").to_numpy(zero_copy_only=False).astype(np.int64)
             g, doc, _, _, twice = runs_of(buf, offs, length)
             if not len(g):
                 continue
@@ -227,17 +229,23 @@ def _meet(table: pa.Table) -> pa.Table:
             doc, g = doc[at], g[at]
         has, begin = np.unique(doc, return_index=True)
         lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(g)).astype(np.int32)), pa.array(g))
-        out.append(pa.table({"doc_id": pa.array(ids[has]), "grams": lists}))
+        out.append(pa.table({"row": pa.array(ids[has]), "grams": lists}))
     return pa.concat_tables(out)
 
 
-_RUNS = "doc_id long, at long, starts int, gram long, block long, body binary"
-_RUN_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+_RUNS = "doc_id long, row long, at long, starts int, gram long, block long, body binary, ranks binary"
+_RUN_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 _RUN_NAMES = [x.split(" ")[0] for x in _RUNS.split(", ")]
 
 
-def _rows(doc, at, starts, gram, block, body) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((doc, at, starts, gram, block, body), _RUN_KINDS)], names=_RUN_NAMES)
+def _rows(doc, row, at, starts, gram, block, body, ranks=None) -> pa.RecordBatch:
+    """ranks: of each start of a run, its place among its part's starts by their suffixes."""
+    cols = (doc, row, at, starts, gram, block, body, [None] * len(doc) if ranks is None else ranks)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _RUN_KINDS)], names=_RUN_NAMES)
+
+
+def _none() -> pa.Table:
+    return pa.Table.from_batches([], _rows(*[[]] * 7).schema)
 
 
 def _found(length: int):
@@ -250,7 +258,7 @@ def _found(length: int):
             if not len(wanted):
                 continue
             buf, offs = texts_of(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "row"))
             g, doc, s, n, _ = runs_of(buf, offs, length)
             signed = g.astype(np.int64)
             k = np.minimum(np.searchsorted(wanted, signed), len(wanted) - 1)
@@ -261,39 +269,62 @@ def _found(length: int):
             e = s + n - 1 + length
             whole = span_hashes(prefix_hashes(buf), s, e)
             at = s - offs[doc]
-            by = np.lexsort((at, ids[doc], whole))
+            by = np.lexsort((at, keys[doc], ids[doc], whole))
             same = np.concatenate([[False], whole[by][1:] == whole[by][:-1]])
-            # Rows that repeat a doc_id have the same place: none of them is earlier.
+            # Rows that repeat a doc_id and its text have the same place: none of them is earlier.
             lead = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
             later = np.zeros(len(g), bool)
-            later[by] = same & ~((ids[doc[by]] == ids[doc[lead]]) & (at[by] == at[lead]))
+            later[by] = same & ~((ids[doc[by]] == ids[doc[lead]]) & (keys[doc[by]] == keys[doc[lead]]) & (at[by] == at[lead]))
             raw = buf.tobytes()
+            first = np.arange(len(g))
+            first[by] = lead
+            for x in np.flatnonzero(later).tolist():  # equal hashes: the bytes decide
+                later[x] = raw[s[x] : e[x]] == raw[s[first[x]] : e[first[x]]]
             body = [None if x else raw[i:j] for x, i, j in zip(later.tolist(), s.tolist(), e.tolist())]
-            yield _rows(ids[doc], at, n, g, np.full(len(g), uuid.uuid4().int & 0x7FFFFFFF), body)
+            yield _rows(ids[doc], keys[doc], at, n, g, np.full(len(g), uuid.uuid4().int & 0x7FFFFFFF), body)
 
     return run
 
 
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place in it) of every start of runs of n starts."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _again(cols, of, k, again) -> pa.RecordBatch:
+    """Rows with a null body for the starts k of runs of that are repeats, neighbouring ones in one row."""
+    doc, row, at, _, gram = cols
+    by = np.flatnonzero(again)
+    by = by[np.lexsort((k[by], of[by]))]
+    o, k = of[by], k[by]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(o)), bool), (o[1:] != o[:-1]) | (k[1:] != k[:-1] + 1)]))
+    r, size = o[new], np.diff(np.append(new, len(o)))
+    return _rows(doc[r], row[r], at[r] + k[new], size, gram[r], np.zeros(len(r), np.int64), [None] * len(r))
+
+
+def _columns(table: pa.Table) -> list[np.ndarray]:
+    return [table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "row", "at", "starts", "gram")]
+
+
 def _settle(length: int, final: bool):
-    """Of a shard: rows with a null body for starts that are repeats, and before the final round the runs with first
-    occurrences again."""
+    """Of a part of a shard: rows with a null body for starts that are repeats in it and, where other parts are to be merged, the runs
+    that have a first occurrence, with the ranks of their starts."""
 
     def run(table: pa.Table) -> pa.Table:
-        none = pa.Table.from_batches([], _rows([], [], [], [], [], []).schema)
         body = table.column("body").to_pylist()
-        doc, at, n, gram = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "at", "starts", "gram"))
-        order = np.lexsort((at, doc))
+        doc, row, at, n, gram = _columns(table)
         first, lead, copies = {}, [], []
-        for k in order.tolist():
+        for k in np.lexsort((at, row, doc)).tolist():
             i = first.setdefault(body[k], k)
             if i == k:
                 lead.append(k)
-            elif doc[i] != doc[k] or at[i] != at[k]:
+            elif doc[i] != doc[k] or row[i] != row[k] or at[i] != at[k]:
                 copies.append(k)
         out = []
         if copies:
             c = np.array(copies)
-            out.append(_rows(doc[c], at[c], n[c], gram[c], np.zeros(len(c), np.int64), [None] * len(c)))
+            out.append(_rows(doc[c], row[c], at[c], n[c], gram[c], np.zeros(len(c), np.int64), [None] * len(c)))
         if lead:
             c = np.array(lead)
             sizes = np.array([len(body[k]) for k in lead])
@@ -302,32 +333,112 @@ def _settle(length: int, final: bool):
             begin = np.cumsum(sizes + 5) - sizes - 5
             sa, _ = suffix_array(text)
             lcp = common_prefixes(text, sa)
-            group = np.empty(len(text), np.int64)
+            group, place = np.empty(len(text), np.int64), np.empty(len(text), np.int64)
             group[sa] = np.cumsum(lcp < length)
-            of = np.repeat(np.arange(len(lead)), n[c])
-            k = np.arange(len(of)) - np.repeat(np.cumsum(n[c]) - n[c], n[c])
-            group = group[begin[of] + k]
-            every = of
+            place[sa] = np.arange(len(text))
+            of, k = _spread(n[c])
+            every, group, place = of, group[begin[of] + k], place[begin[of] + k]
             several = np.flatnonzero(np.bincount(group)[group] > 1)
             group, of, k = group[several], of[several], k[several]
-            d, start = doc[c][of], at[c][of] + k
-            by = np.lexsort((start, d, group))
-            g, d, start, of, k = group[by], d[by], start[by], of[by], k[by]
+            d, r, start = doc[c][of], row[c][of], at[c][of] + k
+            by = np.lexsort((start, r, d, group))
+            g, d, r, start, of, k = group[by], d[by], r[by], start[by], of[by], k[by]
             head = np.maximum.accumulate(np.where(np.concatenate([np.ones(min(1, len(g)), bool), g[1:] != g[:-1]]), np.arange(len(g)), 0))
-            again = (d != d[head]) | (start != start[head])
-            by = np.flatnonzero(again)
-            by = by[np.lexsort((k[by], of[by]))]
-            o, k = of[by], k[by]
-            if len(o):
-                new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (k[1:] != k[:-1] + 1)]))
-                size = np.diff(np.append(new, len(o)))
-                r = c[o[new]]
-                out.append(_rows(doc[r], at[r] + k[new], size, gram[r], np.zeros(len(r), np.int64), [None] * len(r)))
+            again = (d != d[head]) | (r != r[head]) | (start != start[head])
+            cols = [x[c] for x in (doc, row, at, n, gram)]
+            if again.any():
+                out.append(_again(cols, of, k, again))
             if not final:
                 # Runs that still have a first occurrence: some start was not found again.
-                left = c[np.bincount(of[again], minlength=len(c)) < np.bincount(every, minlength=len(c))]
-                out.append(_rows(doc[left], at[left], n[left], gram[left], np.zeros(len(left), np.int64), [body[k] for k in left.tolist()]))
-        return pa.Table.from_batches(out) if out else none
+                cut = np.cumsum(n[c])[:-1]
+                ranks = [x.astype("<u4").tobytes() for x in np.split(place, cut)]
+                left = np.flatnonzero(np.bincount(of[again], minlength=len(c)) < np.bincount(every, minlength=len(c)))
+                block = np.full(len(left), table.column("part")[0].as_py() if len(left) else 0)
+                out.append(_rows(*[x[left] for x in cols], block, [body[c[k]] for k in left.tolist()], [ranks[k] for k in left.tolist()]))
+        return pa.Table.from_batches(out) if out else _none()
+
+    return run
+
+
+class Strings:
+    """The strings of length bytes of a text, by their starts; compared eight bytes a step."""
+
+    def __init__(self, text: np.ndarray, length: int):
+        padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+        self.word = np.zeros(len(text) + 1, np.uint64)
+        for k in range(8):
+            self.word[:-1] = (self.word[:-1] << np.uint64(8)) | padded[k : k + len(text)]
+        self.steps = [*range(0, length - 8, 8), length - 8]
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 for each pair of starts."""
+        out, open_ = np.zeros(len(a), np.int8), np.arange(len(a))
+        for step in self.steps:
+            x, y = self.word[a[open_] + step], self.word[b[open_] + step]
+            differ = x != y
+            out[open_[differ]] = np.where(x[differ] < y[differ], -1, 1)
+            open_ = open_[~differ]
+            if not len(open_):
+                break
+        return out
+
+    def lower(self, ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """For each wanted start the first place in ordered whose string isn't smaller, by binary search."""
+        lo, hi = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(ordered))
+        while len(at := np.flatnonzero(lo < hi)):
+            mid = (lo[at] + hi[at]) // 2
+            small = self.compare(ordered[mid], wanted[at]) < 0
+            lo[at[small]], hi[at[~small]] = mid[small] + 1, mid[~small]
+        return lo
+
+
+def _merge(length: int):
+    """Of a shard: rows for the starts that were first in their part of it but have an equal string earlier in another part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        body, ranks, part = (table.column(c).to_pylist() for c in ("body", "ranks", "block"))
+        cols = _columns(table)
+        doc, row, at, n, _ = cols
+        text = np.frombuffer(b"".join(body), np.uint8)
+        begin = np.cumsum([0] + [len(b) for b in body])[:-1]
+        of, k = _spread(n)
+        start, rank, part = begin[of] + k, np.frombuffer(b"".join(ranks), "<u4"), np.array(part)[of]
+        strings, again = Strings(text, length), np.zeros(len(of), bool)
+
+        def earlier(x, y):
+            """Whether the starts x are before the starts y in the corpus."""
+            d, r, p = doc[of], row[of], (at[of] + k)
+            return (d[x] < d[y]) | (d[x] == d[y]) & ((r[x] < r[y]) | (r[x] == r[y]) & (p[x] < p[y]))
+
+        def joined(a, b):
+            """Two lists of starts, each in the order of its strings, as one; of equal strings only the earlier goes on."""
+            if len(a) < len(b):
+                a, b = b, a
+            if not len(b):
+                return a
+            place = strings.lower(start[a], start[b])
+            at_a = a[np.minimum(place, len(a) - 1)]
+            equal = (place < len(a)) & (strings.compare(start[at_a], start[b]) == 0)
+            x, y = at_a[equal], b[equal]
+            first = earlier(x, y)
+            again[np.where(first, y, x)[first | earlier(y, x)]] = True
+            a = a.copy()
+            a[place[equal]] = np.where(first, x, y)
+            return np.insert(a, place[~equal], b[~equal])
+
+        lists = []
+        for p in np.unique(part):
+            i = np.flatnonzero(part == p)
+            i = i[np.argsort(rank[i], kind="stable")]
+            # Equal strings of one part: its settling kept all but the first as repeats already.
+            s = strings.compare(start[i][:-1], start[i][1:]) == 0
+            head = np.maximum.accumulate(np.where(np.concatenate([[True], ~s]), np.arange(len(i)), 0))
+            by = np.lexsort((at[of[i]] + k[i], row[of[i]], doc[of[i]], head))
+            new = np.concatenate([[True], head[by][1:] != head[by][:-1]])
+            lists.append(i[by[new]])
+        while len(lists) > 1:
+            lists = [joined(x, y) for x, y in zip(lists[::2], [*lists[1::2], np.zeros(0, np.int64)])]
+        return pa.Table.from_batches([_again(cols, of[again], k[again], np.ones(again.sum(), bool))]) if again.any() else _none()
 
     return run
 
@@ -342,7 +453,7 @@ def _removed(length: int, keep: bool):
             raw, out = buf.tobytes(), []
             for i, a, b, spans in zip(batch.column("doc_id").to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), batch.column("spans").to_pylist()):
                 body, gone, merged = raw[a:b], 0, []
-                for s in sorted((x["at"], x["at"] + x["starts"] - 1 + length) for x in spans or ()):
+                for s in sorted((x["at"], x["at"] + x["starts"] - 1 + length) for x in spans or () if x["doc_id"] == i):
                     if merged and s[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], s[1])
                     else:
@@ -363,36 +474,41 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) ->
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs (doc_id, text; others are ignored).
 
     kept: the remaining bytes, null unless keep. A null text is empty; a text shorter than length loses nothing. Rows that
-    repeat a doc_id have the same places, and none is earlier than the other. A row without a doc_id has no place: nothing is
+    repeat a doc_id with unlike texts are documents of their own, the one whose text has the smaller hash first; with equal texts
+    they are one document in two rows, and none is earlier than the other. A row without a doc_id has no place: nothing is
     removed from it nor because of it. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    key = F.xxhash64("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", key)
     total = text_bytes(docs)
-    # The texts are dealt by doc_id once, into a table that later joins on doc_id read without another exchange.
+    # The texts are dealt by row once, into a table that later joins by row read without another exchange.
     # With fewer buckets than shuffle partitions the joins would deal them again.
     parts = max(blocks_for(total, 24 << 20), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"cloakframe_texts_{uuid.uuid4().hex}"
-    docs.where("doc_id is not null").repartition(parts, "doc_id").write.option("compression", "zstd").bucketBy(parts, "doc_id").saveAsTable(name)
-    texts = spark.table(name)
+    texts = bucketed(docs.where("doc_id is not null").repartition(parts, "row"), "texts", "row", parts)
 
     buckets = blocks_for(total // 25, PER_BUCKET)
     sent = texts.mapInArrow(_send(buckets, length), _SENT)
-    grams = stored(sent.groupBy("bucket").applyInArrow(_meet, "doc_id long, grams array<long>"), "grams")
-    grams = grams.groupBy("doc_id").agg(F.flatten(F.collect_list("grams")).alias("grams"))
-    found = texts.join(grams.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "grams").mapInArrow(_found(length), _RUNS)
+    grams = stored(sent.groupBy("bucket").applyInArrow(_meet, "row long, grams array<long>"), "grams")
+    grams = grams.groupBy("row").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    found = texts.join(grams.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "grams").mapInArrow(_found(length), _RUNS)
     found = stored(found, "runs")
 
     size = found.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = blocks_for(size, SHARD_BYTES)
     known, open_ = found.where("body is null"), found.where("body is not null")
-    split = blocks_for(total, SPLIT_BLOCKS * (4 << 20))
-    if split > 1:
-        settled = stored(open_.groupBy(F.pmod("gram", F.lit(shards)).alias("shard"), (F.col("block") % split).alias("part")).applyInArrow(_settle(length, False), _RUNS), "settled")
-        known, open_ = known.unionByName(settled.where("body is null")), settled.where("body is not null")
-    known = known.unionByName(open_.groupBy(F.pmod("gram", F.lit(shards)).alias("shard")).applyInArrow(_settle(length, True), _RUNS))
-    spans = known.groupBy("doc_id").agg(F.collect_list(F.struct("at", "starts")).alias("spans"))
-
-    nameless = docs.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<at:long,starts:int>>"))
-    rows = texts.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").unionByName(nameless)
+    parts = blocks_for(total, SPLIT_BLOCKS * (4 << 20))
+    shard = F.pmod("gram", F.lit(shards)).alias("shard")
+    if parts > 1:
+        dealt = open_.select("*", shard, (F.col("block") % parts).alias("part"))
+        settled = stored(dealt.groupBy("shard", "part").applyInArrow(_settle(length, False), _RUNS), "settled")
+        known = known.unionByName(settled.where("body is null"))
+        known = known.unionByName(settled.where("body is not null").groupBy(shard).applyInArrow(_merge(length), _RUNS))
+    else:
+        known = known.unionByName(open_.groupBy(shard).applyInArrow(_settle(length, True), _RUNS))
+    # Rows are named by a hash of both: its doc_id goes with a span, so that rows of other documents can't take it.
+    spans = known.groupBy("row").agg(F.collect_list(F.struct("doc_id", "at", "starts")).alias("spans"))
+
+    nameless = docs.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<doc_id:long,at:long,starts:int>>"))
+    rows = texts.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", "spans").unionByName(nameless)
     return rows.mapInArrow(_removed(length, keep), _RESULT)
