@@ -1,10 +1,14 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of its documents' tokens. Every window of `length` tokens gives each source its share of all
-tokens; what a share's rounding leaves is the source's deficit, carried to the next window. With C(k) the tokens of the
-first k sources and T of all, the first k sources have been served floor(min(w * length, T) * C(k) / T) tokens after w
-windows: so a source's service, and its deficit against w * length * share, follow for any window from totals alone, and
-each partition cuts its own documents without knowing the others'. All windows but the last are full.
+Each source is a queue of its documents' tokens and has a weight: by default its share of all tokens, so that every window of `length`
+tokens has the corpus's proportions. In a round every queue's deficit is raised by its quantum, a time step times its weight, and it
+sends what rounds to whole tokens; the time step is the one that fills the window. What is left, half a token at most either way, is
+the deficit that it carries to the next window. A queue that has run empty leaves its part to the others by their weights. All windows
+but the last are full.
+
+Partitions do this without each other: the deficits carried into any window follow from the queues' totals alone. By time v a queue of
+weight w has sent the whole tokens nearest to w * v, so its token j (from 0) is due at (j + 1/2) / w, all tokens have one order by
+due time and queue, and a window is the next `length` of them. What each queue has sent by a window is found by bisection over time.
 
 The order within a queue is (partition, row) of the tokenised table, which is written once; only its totals by partition
 and source are summed over the cluster.
@@ -130,46 +134,98 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return docs.select("doc_id", "text", "source").mapInArrow(run, _TOKENS)
 
 
-class Queue:
-    """A source's service: before has C(k-1), upto C(k), total T."""
-
-    def __init__(self, before: int, upto: int, total: int, length: int):
-        self.before, self.upto, self.total, self.length = before, upto, total, length
+class RoundRobin:
+    """The rounds over queues of so many tokens. Times are compared as the same floating-point numbers everywhere."""
+
+    #: Windows whose rounds are worked out together.
+    CHUNK = 256
+
+    def __init__(self, totals, weights, length: int):
+        self.totals, self.weights, self.length = np.asarray(totals, np.int64), np.asarray(weights, np.float64), length
+        if len(self.totals) != len(self.weights) or not (self.weights > 0).all():
+            raise ValueError("every source needs a positive weight")
+        self.total, self._chunks, self._last = int(self.totals.sum()), {}, {}
+
+    def _due(self, v: np.ndarray) -> np.ndarray:
+        """(times, queues): how many tokens of each queue are due at time v or before."""
+        v, w = np.asarray(v, np.float64)[:, None], self.weights
+        n = np.clip(np.floor(v * w + 0.5), 0, self.totals)
+        # The product's rounding may be one off the comparison of times.
+        n += (n < self.totals) & ((n + 0.5) / w <= v)
+        n -= (n > 0) & ((n - 0.5) / w > v)
+        return n.astype(np.int64)
+
+    def sent(self, t) -> np.ndarray:
+        """(numbers, queues): what each queue has sent when t tokens have been sent in all."""
+        t = np.minimum(np.asarray(t, np.int64), self.total)
+        lo, hi = np.full(len(t), -1.0), np.full(len(t), float(((self.totals + 0.5) / self.weights).max(initial=0)))
+        while True:
+            mid = lo + (hi - lo) / 2
+            if not ((mid > lo) & (mid < hi)).any():
+                break
+            enough = self._due(mid).sum(axis=1) >= t
+            lo, hi = np.where(enough, lo, np.maximum(lo, mid)), np.where(enough, np.minimum(hi, mid), hi)
+        n = self._due(hi)
+        # Of the tokens due at that very time the last queues' ones wait.
+        tied = n - self._due(lo)
+        waiting = np.cumsum(tied[:, ::-1], axis=1)[:, ::-1]
+        return n - ((tied > 0) & (waiting <= (n.sum(axis=1) - t)[:, None]))
+
+    def window_of(self, queue: int, place: int) -> int:
+        """The window in which a queue sends its token at place: by the number of tokens due before it."""
+        time = np.float64(place + 0.5) / self.weights[queue]
+        upto, before = self._due(np.array([time, np.nextafter(time, -1)]))
+        return int(upto[:queue].sum() + before[queue:].sum()) // self.length
+
+    def turn(self, queue: int, window: int) -> tuple[int, int, int]:
+        """(first token, tokens, offset in the window) of a queue in a window."""
+        k, at = divmod(window, self.CHUNK)
+        if k not in self._chunks:
+            sent = self.sent(np.arange(k * self.CHUNK, (k + 1) * self.CHUNK + 1) * self.length)
+            size = np.diff(sent, axis=0)
+            if len(self._chunks) > 8:
+                self._chunks.clear()
+            self._chunks[k] = sent.T.tolist(), size.T.tolist(), (np.cumsum(size, axis=1) - size).T.tolist()
+        first, size, offset = self._chunks[k]
+        return first[queue][at], size[queue][at], offset[queue][at]
+
+    def pieces(self, queue: int, place: int, n: int):
+        """(start, length, window, offset) of the pieces of n tokens from place of a queue."""
+        # Documents of a queue mostly follow each other: the last one's window is where this one begins.
+        ended, window = self._last.get(queue, (None, 0))
+        start, window = 0, window if ended == place else self.window_of(queue, place)
+        while start < n:
+            first, have, offset = self.turn(queue, window)
+            left = first + have - place
+            if left > 0:
+                size = min(left, n - start)
+                yield start, size, window, offset + place - first
+                start, place = start + size, place + size
+                self._last[queue] = place, window
+            window += 1
 
-    def served(self, w: int) -> tuple[int, int]:
-        """Tokens that the sources before this one, and this one, have had after w windows."""
-        t = min(w * self.length, self.total)
-        low = t * self.before // self.total
-        return low, t * self.upto // self.total - low
 
-    def pieces(self, pos: int, n: int):
-        """(start, length, window, offset) of the pieces of n tokens from pos of the queue."""
-        own, start = self.upto - self.before, 0
-        w = max(0, pos * self.total // (own * self.length) - 1)
-        low, a = self.served(w)
-        while start < n:
-            low2, b = self.served(w + 1)
-            if b > pos:
-                size = min(b - pos, n - start)
-                yield start, size, w, low2 - low + pos - a
-                start += size
-                pos += size
-                if pos < b:
-                    return
-            w, low, a = w + 1, low2, b
+def weights_of(names: list, totals: list[int], weights: dict | None) -> list[float]:
+    """By source; without any the totals, so that each window has the corpus's proportions."""
+    if weights is None:
+        return totals
+    if missing := [n for n in names if n not in weights]:
+        raise ValueError(f"sources without a weight: {missing[:10]}")
+    return [weights[n] for n in names]
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def _cut(length: int):
+def _cut(totals: list[int], weights: list[float], names: list, length: int):
     def run(batches):
+        rounds, queue = RoundRobin(totals, weights, length), {s: k for k, s in enumerate(names)}
         for batch in batches:
             out = []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "n", "ids", "at", "before", "upto", "total")))
-            for doc, source, n, ids, at, before, upto, total in rows:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "n", "ids", "at")))
+            for doc, source, n, ids, at in rows:
                 ids = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
-                for start, size, w, offset in Queue(before, upto, total, length).pieces(at, n):
+                for start, size, w, offset in rounds.pieces(queue[source], at, n):
                     out.append((doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, w, offset, source))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 7 else pa.int64()) for k, c in enumerate(zip(*out))], names=_PIECE_NAMES)
@@ -181,21 +237,22 @@ _PIECE_NAMES = [x.split(" ")[0] for x in _PIECES.split(", ")]
 
 
 @finished
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, weights: dict | None = None) -> DataFrame:
     """Pieces of docs (doc_id, text, source; other columns are ignored) in sequences of length tokens.
 
+    weights: by source, the proportions that every window is filled to while its queues last; None: those of all tokens. One that
+    names not every source is an error. The sources' totals are collected, a few bytes for each.
     A null or empty text is its end_id alone. A null source is a queue of its own. Rows that repeat are packed as often.
     An empty table gives no piece. Only the last sequence can be short; it is padded to length unless its size is a
     power of two.
     """
     tokens = stored(tokenised(docs, path or tokenizer_path(), end_id), "tokens")
     sums = stored(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "sums")
-    by_source = sums.groupBy("source").agg(F.sum("n").alias("own"))
-    upto = F.sum("own").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    queues = by_source.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("own")).crossJoin(sums.agg(F.sum("n").alias("total")))
+    found = sums.groupBy("source").agg(F.sum("n").alias("own")).orderBy(F.col("source").asc_nulls_last()).collect()
+    names, totals = [x["source"] for x in found], [x["own"] for x in found]
+    weights = weights_of(names, totals, weights)
     base = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    places = sums.withColumn("base", F.coalesce(base, F.lit(0))).alias("s").join(queues.alias("q"), F.expr("s.source <=> q.source"))
+    places = sums.select(F.col("part").alias("_part"), F.col("source").alias("_source"), F.coalesce(base, F.lit(0)).alias("base"))
     # Written so that its size is known: small, it is broadcast; beyond the session's threshold both sides are shuffled.
-    places = stored(places.select(F.col("part").alias("_part"), F.col("s.source").alias("_source"), "base", "before", "upto", "total"), "places")
-    placed = tokens.join(places, F.expr("part = _part and source <=> _source"))
-    return placed.select("doc_id", "source", "n", "ids", (F.col("base") + F.col("place")).alias("at"), "before", "upto", "total").mapInArrow(_cut(length), _PIECES)
+    placed = tokens.join(stored(places, "places"), F.expr("part = _part and source <=> _source"))
+    return placed.select("doc_id", "source", "n", "ids", (F.col("base") + F.col("place")).alias("at")).mapInArrow(_cut(totals, weights, names, length), _PIECES)
