@@ -1,7 +1,12 @@
 """Quality by line labels: a linear-chain conditional random field marks each line content or boilerplate.
 
 Viterbi decoding gives the labels; the share of a text's line characters in content lines decides, after a few plain
-rules on words. The field is trained here by its likelihood's gradient, lines taking their document's quality label.
+rules on words. The field is trained here by its likelihood's gradient.
+
+Only documents have labels, so lines get theirs in rounds. A line of a good document is content, unless it repeats an earlier one of
+its text. A bad document's lines are boilerplate at first; after a fit they take the labels that the field decodes, where most of
+their characters stay boilerplate: so clean lines in bad documents become content. Besides the documents, sequences are spliced
+from a good document with a bad one between its lines, so that the field learns where labels change.
 """
 
 from __future__ import annotations
@@ -16,9 +21,13 @@ from .common import in_blocks, mix, prefix_hashes, span_hashes, texts_of, words_
 #: The fit's bounds: labelled documents of each quality, and lines of each, from any place of the text.
 DOCS_PER_LABEL, LINES_PER_DOC = 1500, 64
 STEPS, RATE, DECAY = 150, 0.5, 1e-3
+#: Fits; before each but the first the lines of bad documents are labelled anew.
+ROUNDS = 3
 MIN_WORDS, REPEAT_PERCENT, WINDOW, CONTENT_SHARE = 20, 30, 8, 0.5
 BOILERPLATE, CONTENT = 0, 1
 FEATURES = 9
+#: The feature that a line repeats an earlier one of its text.
+AGAIN = 6
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 LETTER = np.zeros(256, bool)
@@ -139,37 +148,85 @@ class LineField:
             state[:k] = back[at, state[:k]]
         return labels
 
-    def fit(self, sequences: list[tuple[np.ndarray, int]]) -> "LineField":
-        """Gradient ascent on the conditional likelihood by forward and backward sums, all sequences side by side."""
-        longest = max(len(f) for f, _ in sequences)
-        x = np.zeros((len(sequences), longest, FEATURES))
-        y = np.zeros((len(sequences), longest), np.int64)
-        on = np.zeros((len(sequences), longest), bool)
-        for k, (f, label) in enumerate(sequences):
-            x[k, : len(f)], y[k], on[k, : len(f)] = f, label, True
-        pair = on[:, 1:]
-        truth = np.zeros((len(sequences), longest, 2))
+    def gradient(self, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(log likelihood, its gradients by emit and by move) of labels y for features x (sequences, places, FEATURES), by forward and
+        backward sums. Sequences have so many places, the longest come first."""
+        n, longest = y.shape
+        lse = lambda v, axis: v.max(axis=axis) + np.log(np.exp(v - v.max(axis=axis, keepdims=True)).sum(axis=axis))
+        alive = np.searchsorted(-size, -np.arange(longest), "left")  # sequences with more than t places
+        on = np.arange(longest) < size[:, None]
+        s = x @ self.emit
+        fwd, bwd = s.copy(), np.zeros_like(s)
+        for t in range(1, longest):
+            k = alive[t]
+            fwd[:k, t] = lse(fwd[:k, t - 1, :, None] + self.move, 1) + s[:k, t]
+        for t in range(longest - 2, -1, -1):
+            k = alive[t + 1]
+            bwd[:k, t] = lse(self.move[None] + (s[:k, t + 1] + bwd[:k, t + 1])[:, None, :], 2)
+        z = lse(fwd[np.arange(n), size - 1], 1)
+        p = np.exp(np.where(on[:, :, None], fwd + bwd - z[:, None, None], -np.inf))
+        pair = on[:, 1:, None, None]
+        both = np.exp(np.where(pair, fwd[:, :-1, :, None] + self.move + (s[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None], -np.inf))
+        truth = np.zeros((n, longest, 2))
         np.put_along_axis(truth, y[:, :, None], 1, axis=2)
-        n = on.sum()
-        for step in range(STEPS):
-            s = x @ self.emit
-            fwd, bwd = s.copy(), np.zeros_like(s)
-            lse = lambda v, axis: v.max(axis=axis) + np.log(np.exp(v - v.max(axis=axis, keepdims=True)).sum(axis=axis))
-            for t in range(1, longest):
-                fwd[:, t] = np.where(on[:, t, None], lse(fwd[:, t - 1, :, None] + self.move, 1) + s[:, t], fwd[:, t - 1])
-            for t in range(longest - 2, -1, -1):
-                bwd[:, t] = np.where(on[:, t + 1, None], lse(self.move[None] + (s[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0)
-            z = lse(fwd[:, -1], 1)
-            p = np.exp(fwd + bwd - z[:, None, None]) * on[:, :, None]
-            both = np.exp(fwd[:, :-1, :, None] + self.move + (s[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
-            g_emit = np.einsum("ntf,nty->fy", x, (truth * on[:, :, None] - p)) / n - DECAY * self.emit
-            seen = np.einsum("nta,ntb->ab", truth[:, :-1] * pair[:, :, None], truth[:, 1:])
-            g_move = (seen - both.sum(axis=(0, 1))) / n - DECAY * self.move
+        truth *= on[:, :, None]
+        moved = np.einsum("nta,ntb->ab", truth[:, :-1], truth[:, 1:])
+        likelihood = (s * truth).sum() + (moved * self.move).sum() - z.sum()
+        return likelihood, np.einsum("ntf,nty->fy", x, truth - p), moved - both.sum(axis=(0, 1))
+
+    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS) -> "LineField":
+        """Gradient ascent on the conditional likelihood of (features, labels), all sequences side by side."""
+        sequences = sorted(sequences, key=lambda q: -len(q[1]))
+        size = np.array([len(y) for _, y in sequences])
+        x, y = np.zeros((len(size), size[0], FEATURES)), np.zeros((len(size), size[0]), np.int64)
+        for k, (f, labels) in enumerate(sequences):
+            x[k, : len(f)], y[k, : len(f)] = f, labels
+        for step in range(steps):
+            _, emit, move = self.gradient(x, y, size)
             rate = RATE * 4 / (1 + step / 50)
-            self.emit, self.move = self.emit + rate * g_emit, self.move + rate * g_move
+            self.emit = self.emit + rate * (emit / size.sum() - DECAY * self.emit)
+            self.move = self.move + rate * (move / size.sum() - DECAY * self.move)
         return self
 
 
+def line_labels(docs: list[tuple[int, np.ndarray, np.ndarray]], field: LineField | None) -> list[np.ndarray]:
+    """Of documents (quality, features, bytes of each line): a label for each line, by the rules at the top."""
+    decoded = None
+    if field is not None:
+        count = [len(f) for _, f, _ in docs]
+        decoded = np.split(field.viterbi(np.concatenate([f for _, f, _ in docs]), np.repeat(np.arange(len(docs)), count), len(docs)), np.cumsum(count)[:-1])
+    out = []
+    for k, (quality, f, size) in enumerate(docs):
+        if quality == CONTENT:
+            y = np.where(f[:, AGAIN] > 0, BOILERPLATE, CONTENT)
+        else:
+            y = np.full(len(f), BOILERPLATE)
+            if decoded is not None and 2 * size[decoded[k] == BOILERPLATE].sum() > size.sum():
+                y = decoded[k]
+        out.append(y)
+    return out
+
+
+def spliced(docs: list[tuple[int, np.ndarray, np.ndarray]], labels: list[np.ndarray], seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each bad document, one sequence of it between the lines of a good one; none where either kind is missing."""
+    rng = np.random.default_rng(seed)
+    good, bad = ([k for k, d in enumerate(docs) if d[0] == q] for q in (CONTENT, BOILERPLATE))
+    out = []
+    for k in bad if good else ():
+        g = good[int(rng.integers(len(good)))]
+        cut = int(rng.integers(0, len(labels[g]) + 1))
+        out.append(tuple(np.concatenate([a[:cut], b, a[cut:]]) for a, b in ((docs[g][1], docs[k][1]), (labels[g], labels[k]))))
+    return out
+
+
+def train(docs: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = ROUNDS) -> LineField:
+    field = LineField()
+    for k in range(rounds):
+        labels = line_labels(docs, field if k else None)
+        field.fit([(f, y) for (_, f, _), y in zip(docs, labels)] + spliced(docs, labels), STEPS if not k else STEPS // 3)
+    return field
+
+
 def _failed(c) -> np.ndarray:
     return (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > REPEAT_PERCENT * c["n_words"])
 
@@ -189,7 +246,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineField:
     def lines(batches):
         for batch in in_blocks(batches):
             buf, offs = texts_of(batch.column("text"))
-            c, f, of, _ = analyse(buf, offs)
+            c, f, of, size = analyse(buf, offs)
+            f = np.column_stack([f, size])
             failed, out = _failed(c), []
             for k, (i, q) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist())):
                 x = f[np.searchsorted(of, k) : np.searchsorted(of, k, "right")]
@@ -202,7 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> LineField:
     rows = sorted(map(tuple, pairs.mapInArrow(lines, "doc_id long, quality int, lines binary").collect()))
     if not rows:
         return LineField()
-    return LineField().fit([(np.frombuffer(x, np.float64).reshape(-1, FEATURES), q) for _, q, x in rows])
+    lines = [(q, np.frombuffer(x, np.float64).reshape(-1, FEATURES + 1)) for _, q, x in rows]
+    return train([(q, x[:, :-1], x[:, -1]) for q, x in lines])
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
