@@ -1,18 +1,19 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class). The class is a hash of a word's last two bytes; its softmax
-sums weights of hashed context features: the word before, the word two before (a skip), and the pair of the last two words'
-classes. Within a class words follow their training counts plus one, with one more share for all unknown words.
+P(word | context) is a product of softmaxes over 16 outcomes each: of a word's group, of its class in the group, and of its leaf in the
+class; times the word's share of the leaf. Group and class are hashes of a word's last two bytes, which tell endings and so languages
+apart; the leaf is a hash of the word. Each softmax sums weights of hashed features of the context and of the outcomes above it: none,
+the ending before, the ending two before (a skip), both (a trigram of endings), and the word before. In a leaf words follow their
+training counts plus one, with one more share for all unknown words.
 
 Word counts: each block of texts sends its distinct words' hashes and counts once to the hashes' buckets, which sum them and
 answer each block. So a frequent word costs a row for each block, and what is gathered grows with the corpus.
-Weights: in each round every partition takes gradient steps over its own training texts from the same weights, and the
-results are averaged by slices of the weight table. The table's size is fixed, whatever the input.
+Weights: in each round every partition takes gradient steps over its own training texts of the round from the same weights, and the
+results are averaged by slices of the weight table. Its rows double with every eightfold vocabulary from a million words on.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks_for, finished, in_blocks, mix, prefix_hashes, span_hashes, stored, text_bytes, texts_of, words_of
+from .common import LOWER, blocks_for, bucketed, finished, in_blocks, mix, prefix_hashes, span_hashes, stored, text_bytes, texts_of, words_of
 
-CLASSES = 32
-#: Rows of the weight table for each kind of feature.
-ROWS = 1 << 12
-KINDS = 3
-ROUNDS, BATCH, RATE = 2, 8192, 0.5
+#: Outcomes of each softmax, softmaxes of a word, and leaves that they lead to.
+WAYS, LEVELS = 16, 3
+LEAVES = WAYS**LEVELS
+KINDS = 5
+#: Rows of the weight table for each level and kind of feature, at least; and at most, as they are kept as 16 bits.
+ROWS, MOST_ROWS = 1 << 12, 1 << 16
+#: Passes over the training texts, and rounds of each.
+EPOCHS, ROUNDS, BATCH, RATE = 2, 2, 8192, 0.3
 SLICES = 16
 BLOCK, PART = 4 << 20, 24 << 20
 PER_BUCKET = 500_000
@@ -39,20 +43,24 @@ def held_out() -> Column:
 
 
 def tokens_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, class, document) of every token; each document's last one is END, of class 0."""
+    """(hash, hash of the last two bytes, document) of every token; each document's last one is END, whose ending is 0."""
     low = LOWER[buf]
     a, b, doc = words_of(low, offs)
     n = len(offs) - 1
     h = span_hashes(prefix_hashes(low), a, b)
-    last = low[b - 1].astype(np.uint64)
     second = np.where(b - a > 1, low[np.maximum(b - 2, 0)], 0).astype(np.uint64)
-    cls = 1 + (mix(last * np.uint64(257) + second) % np.uint64(CLASSES - 1)).astype(np.int64)
+    tail = mix(low[b - 1].astype(np.uint64) * np.uint64(257) + second)
     ends = np.searchsorted(doc, np.arange(n), "right")
-    return np.insert(h, ends, END), np.insert(cls, ends, 0), np.insert(doc, ends, np.arange(n))
+    return np.insert(h, ends, END), np.insert(tail, ends, 0), np.insert(doc, ends, np.arange(n))
 
 
-def features_of(h: np.ndarray, cls: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """(tokens, KINDS) rows of the weight table, from the tokens before in the same document only."""
+def leaves_of(h: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The leaf of every token: group, class and leaf, four bits each from the highest."""
+    return ((tail >> np.uint64(20)) & np.uint64(255)).astype(np.int64) * WAYS + ((mix(h + np.uint64(3)) >> np.uint64(13)) & np.uint64(WAYS - 1)).astype(np.int64)
+
+
+def contexts_of(h: np.ndarray, tail: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """(KINDS, tokens) hashes of the features, from the tokens before in the same document only."""
 
     def before(x, k, missing):
         out = np.full(len(x), missing, x.dtype)
@@ -60,38 +68,62 @@ def features_of(h: np.ndarray, cls: np.ndarray, doc: np.ndarray) -> np.ndarray:
             out[k:] = np.where(doc[k:] == doc[:-k], x[:-k], missing)
         return out
 
-    one, two = before(h, 1, START), before(h, 2, START)
-    pair = before(cls, 1, CLASSES) * (CLASSES + 1) + before(cls, 2, CLASSES)
-    size = np.uint64(ROWS)
-    kinds = (one, mix(two + np.uint64(1)), mix(pair.astype(np.uint64)))
-    return np.stack([(x % size).astype(np.int64) + k * ROWS for k, x in enumerate(kinds)], axis=1)
+    one, two = before(tail, 1, START), before(tail, 2, START)
+    return np.stack([np.zeros(len(h), np.uint64), one, two + np.uint64(1), mix(one * np.uint64(31) + two), before(h, 1, START) + np.uint64(2)])
+
+
+def features_of(contexts: np.ndarray, leaf: np.ndarray, level: int, rows: int) -> np.ndarray:
+    """(KINDS, tokens) rows of a level's weight table: the context together with the outcomes above the level."""
+    above = (leaf // WAYS ** (LEVELS - level) + WAYS**level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mix(contexts + above) % np.uint64(rows)).astype(np.uint16)
+
+
+def outcome(leaf: np.ndarray, level: int) -> np.ndarray:
+    return leaf // WAYS ** (LEVELS - 1 - level) % WAYS
 
 
 class Maxent:
-    def __init__(self, weights: np.ndarray | None = None):
-        self.w = np.zeros((KINDS * ROWS, CLASSES), np.float32) if weights is None else weights
+    """weights: (LEVELS, KINDS, rows, WAYS)."""
 
-    def probabilities(self, f: np.ndarray) -> np.ndarray:
-        s = self.w[f[:, 0]]
+    def __init__(self, weights: np.ndarray | None = None, rows: int = ROWS):
+        self.w = np.zeros((LEVELS, KINDS, rows, WAYS), np.float32) if weights is None else weights
+        self.rows = self.w.shape[2]
+
+    def probabilities(self, level: int, f: np.ndarray) -> np.ndarray:
+        s = self.w[level, 0][f[0]]
         for k in range(1, KINDS):
-            s += self.w[f[:, k]]
+            s += self.w[level, k][f[k]]
         s -= s.max(axis=1, keepdims=True)
         np.exp(s, out=s)
         s /= s.sum(axis=1, keepdims=True)
         return s
 
-    def learn(self, f: np.ndarray, cls: np.ndarray, power: np.ndarray) -> None:
-        """One Adagrad step a batch; power holds the sums of squared gradients."""
-        for i in range(0, len(f), BATCH):
-            x, y = f[i : i + BATCH], cls[i : i + BATCH]
-            g = self.probabilities(x)
-            g[np.arange(len(y)), y] -= 1
-            for k in range(KINDS):
-                by = np.argsort(x[:, k], kind="stable")
-                rows, first = np.unique(x[by, k], return_index=True)
-                d = np.add.reduceat(g[by], first, axis=0)
-                power[rows] += d * d
-                self.w[rows] -= RATE * d / np.sqrt(power[rows] + 1e-6)
+    def log10(self, contexts: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Of each token's leaf."""
+        out = np.zeros(len(leaf))
+        for i in range(0, len(leaf), BATCH):
+            x, y = contexts[:, i : i + BATCH], leaf[i : i + BATCH]
+            for level in range(LEVELS):
+                p = self.probabilities(level, features_of(x, y, level, self.rows))
+                out[i : i + BATCH] += np.log10(np.maximum(p[np.arange(len(y)), outcome(y, level)], 1e-30))
+        return out
+
+    def learn(self, contexts: np.ndarray, leaf: np.ndarray, power: np.ndarray) -> None:
+        """One Adagrad step a batch and level; power holds the sums of squared gradients. The one added keeps rare rows small."""
+        for i in range(0, len(leaf), BATCH):
+            x, y = contexts[:, i : i + BATCH], leaf[i : i + BATCH]
+            for level in range(LEVELS):
+                f = features_of(x, y, level, self.rows)
+                g = self.probabilities(level, f)
+                g[np.arange(len(y)), outcome(y, level)] -= 1
+                for k in range(KINDS):
+                    by = np.argsort(f[k], kind="stable")
+                    row = f[k][by]
+                    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                    d, row = np.add.reduceat(g[by], first, axis=0), row[first]
+                    p = power[level, k][row] + d * d
+                    power[level, k][row] = p
+                    self.w[level, k][row] -= RATE * d / np.sqrt(p + 1.0)
 
 
 # ------------------------------------------------------------------ counts
@@ -104,7 +136,8 @@ def _count(buckets: int):
         total: dict[str, list] = {"h": [], "c": [], "n": []}
         for batch in in_blocks(table.to_batches()):
             buf, offs = texts_of(batch.column("text"))
-            h, cls, doc = tokens_of(buf, offs)
+            h, tail, doc = tokens_of(buf, offs)
+            cls = leaves_of(h, tail)
             learned = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             total["h"].append(u)
@@ -113,7 +146,7 @@ def _count(buckets: int):
         h, c, n = (np.concatenate(total[k]) for k in "hcn")
         u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         n = np.bincount(inverse, n, minlength=len(u)).astype(np.int64)
-        c = c[first].astype(np.uint8)
+        c = c[first].astype(np.uint16)
         where = (u % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(where, kind="stable")
         u, c, n = u[by], c[by], n[by]
@@ -126,14 +159,14 @@ def _count(buckets: int):
 
 
 def _sum(table: pa.Table) -> pa.Table:
-    """Of one bucket: every block's words with their training counts over all blocks; and, once, tokens and words of each class."""
+    """Of one bucket: every block's words with their training counts over all blocks; and, once, tokens and words of each leaf."""
     words, classes, counts = (table.column(c).to_pylist() for c in ("words", "classes", "counts"))
     h = np.frombuffer(b"".join(words), np.uint64)
     u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     n = np.bincount(inverse, np.frombuffer(b"".join(counts), np.int64), minlength=len(u)).astype(np.int64)
-    cls = np.frombuffer(b"".join(classes), np.uint8)[first]
+    cls = np.frombuffer(b"".join(classes), np.uint16)[first]
     seen = n > 0
-    stats = np.stack([np.bincount(cls, n, minlength=CLASSES), np.bincount(cls[seen], minlength=CLASSES)]).astype(np.int64)
+    stats = np.stack([np.bincount(cls, n, minlength=LEAVES), np.bincount(cls[seen], minlength=LEAVES)]).astype(np.int64)
     cut = np.cumsum([0] + [len(x) // 8 for x in words])
     answer = [n[inverse[i:j]].tobytes() for i, j in zip(cut, cut[1:])]
     size = len(words)
@@ -149,11 +182,11 @@ def _round(weights: np.ndarray):
         model, power, seen = Maxent(weights.copy()), np.zeros_like(weights), 0
         for batch in in_blocks(batches):
             buf, offs = texts_of(batch.column("text"))
-            h, cls, doc = tokens_of(buf, offs)
-            model.learn(features_of(h, cls, doc), cls, power)
+            h, tail, doc = tokens_of(buf, offs)
+            model.learn(contexts_of(h, tail, doc), leaves_of(h, tail), power)
             seen += len(h)
         if seen:
-            parts = np.split(model.w, SLICES)
+            parts = np.split(model.w.reshape(-1, WAYS), SLICES)
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "n": pa.array([seen] * SLICES, pa.int64()), "w": pa.array([x.tobytes() for x in parts], pa.binary())})
 
     return run
@@ -172,14 +205,18 @@ def _average(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
 _SLICE = "slice int, n long, w binary"
 
 
-def train(texts: DataFrame) -> Maxent:
-    """Over every training text once: the rounds take the blocks in turn."""
-    model = Maxent()
-    for k in range(ROUNDS):
-        rows = texts.where(~F.col("held_out") & (F.col("block") % ROUNDS == k)).select("text").mapInArrow(_round(model.w), _SLICE)
-        got = {x["slice"]: x["w"] for x in rows.groupBy("slice").applyInArrow(_average, _SLICE).collect()}
+def rows_for(vocabulary: int) -> int:
+    return min(MOST_ROWS, ROWS << max(0, (vocabulary.bit_length() - 20) // 3))
+
+
+def train(texts: DataFrame, rows: int = ROWS) -> Maxent:
+    """Over every training text EPOCHS times: the rounds of an epoch take the blocks in turn."""
+    model = Maxent(rows=rows)
+    for k in range(EPOCHS * ROUNDS):
+        some = texts.where(~F.col("held_out") & (F.col("block") % ROUNDS == k % ROUNDS)).select("text").mapInArrow(_round(model.w), _SLICE)
+        got = {x["slice"]: x["w"] for x in some.groupBy("slice").applyInArrow(_average, _SLICE).collect()}
         if got:
-            model = Maxent(np.concatenate([np.frombuffer(got[k], np.float32) for k in range(SLICES)]).reshape(-1, CLASSES).copy())
+            model = Maxent(np.concatenate([np.frombuffer(got[k], np.float32) for k in range(SLICES)]).reshape(model.w.shape).copy())
     return model
 
 
@@ -199,12 +236,10 @@ def _score(model: Maxent, tokens: np.ndarray, words: np.ndarray):
         out = []
         for batch in in_blocks(texts.to_batches()):
             buf, offs = texts_of(batch.column("text"))
-            h, cls, doc = tokens_of(buf, offs)
-            c = n[np.searchsorted(known, h)]
+            h, tail, doc = tokens_of(buf, offs)
+            c, leaf = n[np.searchsorted(known, h)], leaves_of(h, tail)
             add = np.log10(c + 1.0)
-            f = features_of(h, cls, doc)
-            p = np.concatenate([np.take_along_axis(model.probabilities(f[i : i + BATCH]), cls[i : i + BATCH, None], 1)[:, 0] for i in range(0, len(f), BATCH)])
-            logp = np.log10(np.maximum(p, 1e-30), dtype=np.float64) + add - within[cls]
+            logp = model.log10(contexts_of(h, tail, doc), leaf) + add - within[leaf]
             first = np.searchsorted(doc, np.arange(batch.num_rows))
             tokens_in = np.bincount(doc, minlength=batch.num_rows)
             base = np.add.reduceat(add, first) - tokens_in * np.log10(float(total + vocabulary + 1))
@@ -232,18 +267,16 @@ def score(docs: DataFrame) -> DataFrame:
     total = text_bytes(docs)
     # With fewer buckets than shuffle partitions a later step would deal them again.
     blocks, parts = blocks_for(total, BLOCK), max(blocks_for(total, PART), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"cloakframe_lm_{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     # Dealt to blocks once, in a table whose blocks later steps read without another exchange.
-    rows.repartition(parts, "block").write.option("compression", "zstd").bucketBy(parts, "block").saveAsTable(name)
-    texts = spark.table(name)
+    texts = bucketed(rows.repartition(parts, "block"), "lm", "block", parts)
 
     buckets = blocks_for(total // 100, PER_BUCKET)
     counted = texts.groupBy("block").applyInArrow(_count(buckets), _COUNTED)
     counts = stored(counted.groupBy("bucket").applyInArrow(_sum, "block long, words binary, counts binary, stats binary"), "counts")
-    stats = np.zeros((2, CLASSES), np.int64)
+    stats = np.zeros((2, LEAVES), np.int64)
     for x in counts.where("stats is not null").select("stats").toLocalIterator():
-        stats += np.frombuffer(x["stats"], np.int64).reshape(2, CLASSES)
-    model = train(texts)
+        stats += np.frombuffer(x["stats"], np.int64).reshape(2, LEAVES)
+    model = train(texts, rows_for(int(stats[1].sum())))
     pair = texts.groupBy("block").cogroup(counts.select("block", "words", "counts").groupBy("block"))
     return pair.applyInArrow(_score(model, stats[0], stats[1]), _SCORED)
