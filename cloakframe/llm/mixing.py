@@ -18,14 +18,20 @@ from .common import WORD, finished, stored
 COPIES = 3
 #: Rows of one hash range, about.
 PER_RANGE = 4096
-#: Bins of a histogram over finish times, and the time from which all fall in the last one.
+#: Bins of a histogram over finish times, and the time from which all fall in the last one. Targets add up to all words, so the cut is
+#: where times reach 1, or one document's share later: the last bin never has it but in tables of a few rows.
 BINS, LAST = 4096, 4.0
 KEY_BITS = 60
 
 
 def shuffle_key() -> Column:
-    """60 bits of the MD5 of doc_id's digits."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    """60 bits of the MD5 of doc_id's digits, or of the text where there is no doc_id."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def row_key() -> Column:
+    """Tells rows of one doc_id apart by their texts."""
+    return F.xxhash64("text")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), copies: int = COPIES) -> DataFrame:
@@ -46,16 +52,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), copie
 
 
 def _queued(docs: DataFrame, weights, copies: int) -> DataFrame:
-    d = docs.select(F.col("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), shuffle_key().alias("k"))
+    d = docs.select(F.col("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), shuffle_key().alias("k"), row_key().alias("row"))
     d = stored(d, "sizes")
     bits = max(0, (d.count() // PER_RANGE).bit_length())
     targets = stored(source_targets(d, weights, copies).select(F.col("source").alias("_source"), "source_size", "target"), "targets")
     d = d.withColumn("range", F.shiftright("k", KEY_BITS - bits))
     of = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = d.groupBy("source", "range").agg(F.sum("size").alias("words")).select(F.col("source").alias("_s"), F.col("range").alias("_r"), F.coalesce(F.sum("words").over(of), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "range").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "range").orderBy("k", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(stored(ranges, "ranges"), F.expr("source <=> _s and range = _r")).withColumn("upto", F.col("base") + F.sum("size").over(within))
-    return d.join(targets, F.expr("source <=> _source")).select("doc_id", "source", "size", "k", "upto", "source_size", "target")
+    return d.join(targets, F.expr("source <=> _source")).select("doc_id", "row", "source", "size", "k", "upto", "source_size", "target")
 
 
 def _finish(copy) -> Column:
@@ -73,8 +79,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), copies: int = COP
     """(doc_id, size, source_size, target, copies, taken) for each row of docs (doc_id, text, source; others are ignored).
 
     Null and empty texts have no words and take none. A null source is a source of its own, the last. Rows that repeat
-    count and are taken each for itself. Ties in the shuffled order fall by doc_id. An empty table gives an empty result.
+    count and are taken each for itself. Ties in the shuffled order fall by doc_id, size and text. An empty table gives an empty result.
     """
+    return _counted(docs, weights, copies).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+def _counted(docs: DataFrame, weights: tuple[int, ...], copies: int) -> DataFrame:
+    """What mix gives, with row and source."""
     q = stored(_queued(docs, weights, copies), "queued")
     total = q.agg(F.sum("size")).first()[0] or 0
     rows = q.where("size > 0").withColumn("copy", F.explode(F.array(*[F.lit(c) for c in range(copies)]))).withColumn("f", _finish(F.col("copy")))
@@ -110,15 +121,18 @@ def _taken(q: DataFrame, beyond, copies: int) -> DataFrame:
 
     n = sum((before(c) for c in range(copies)), F.lit(0))
     n = F.when((F.col("size") > 0) & (F.col("target") > 0), n).otherwise(0)
-    return q.withColumn("copies", n.cast("int")).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return q.withColumn("copies", n.cast("int")).select("doc_id", "row", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 @finished
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), copies: int = COPIES) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows that repeat a doc_id are all taken as often as one of them."""
-    n = mix(docs, weights, copies).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(n, F.expr("doc_id <=> _id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
-    return out.select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it. Rows of one doc_id with unlike texts or sources are taken each for itself; rows
+    equal in all three are all taken as often as the first of them."""
+    n = _counted(docs, weights, copies).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("source").alias("_from")).agg(F.max("copies").alias("_copies"))
+    # Names of its own: docs may have columns of any name.
+    plain = docs.toDF(*[c if c in ("doc_id", "text", "source") else f"_{k}" for k, c in enumerate(docs.columns)])
+    out = plain.withColumn("_key", row_key()).join(n, F.expr("doc_id <=> _id and _key = _row and source <=> _from"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*plain.columns).toDF(*docs.columns)
 
 
 #: The same in SQL: rows, values and order, but the hash ranges and histograms, which only spread the work.
