@@ -1,8 +1,10 @@
-"""Licence scan: sparse TF-IDF cosine of a file's lines to licence templates, then inheritance from the nearest directory.
+"""Licence scan: sparse TF-IDF cosine of headers and licence files to licence templates, then inheritance from the nearest directory.
 
-Every line of a whole text is a possible header. Weights are tf * idf, idf from the number of texts that hold a
-term: those of the templates are collected, the others of the lines to score are joined. A line can reach the threshold only if it holds one of the terms
-without which no template keeps enough of its norm, so only such lines are scored: the rest can't match.
+Units of a whole text are compared: every line, every block (lines up to a blank one, joined, so that wrapped notices are whole), and
+of a licence file all of it. Marks of comments before and behind a line don't count. Weights are tf * idf, idf from the number of texts
+that hold a term: those of the templates are collected, the others of the units to score are joined. A unit can reach the threshold
+only if it holds one of the terms without which no template keeps enough of its norm, so only such units are scored: the rest can't
+match.
 
 A directory has the licence of its best licence file. A file without its own takes that of the nearest ancestor that has one,
 found by joining its ancestors' paths with the directories.
@@ -22,19 +24,81 @@ TERM = r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
 #: Bytes up to which the lines' other terms are broadcast; beyond, they are joined by a shuffle.
 BROADCAST = 32 << 20
 LICENCE_FILE = r"^(LICEN[CS]E|COPYING|NOTICE)(\..*)?$"
-#: Notices by SPDX identifier; fixed values.
+#: Marks of comments at a line's begin and end.
+COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--+|%+|<!--)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+    "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+    "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+    "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+    "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions:"
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+    "disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may "
+    "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+)
+_APACHE_AS_IS = (
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+    "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+    "permissions and limitations under the License."
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} Public License as published by "
+    "the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+)
+_GNU_REST = (
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} Public License for more details. You should have received a copy "
+    "of the GNU {0} Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+_GNU_KINDS = (("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"))
+#: Notices, headers and whole texts by SPDX identifier; fixed values.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", f"{_APACHE} {_APACHE_AS_IS}"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", _MIT),
+    ("MIT", f"MIT License {_MIT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    *((i, _GNU.format(kind, version)) for i, kind, version in _GNU_KINDS),
+    *((i, f"{_GNU} {_GNU_REST}".format(kind, version)) for i, kind, version in _GNU_KINDS),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_NAME}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_NAME} {_BSD_AS_IS}"),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_AS_IS}"),
+    ("ISC", _ISC),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
 
@@ -96,13 +160,23 @@ def needed_terms(vectors: list[dict[str, float]], threshold: float) -> list[str]
     return sorted(out)
 
 
+def units(path: Column, text: Column) -> Column:
+    """An array of what is compared with the templates: lines, blocks of several lines and, of a licence file, all."""
+    bare = F.regexp_replace(text, COMMENT, "")
+    blocks = F.filter(F.split(bare, r"\n\n+"), lambda b: F.contains(b, F.lit("\n")))
+    whole = F.when(F.element_at(F.split(path, "/"), -1).rlike(LICENCE_FILE), F.array(bare)).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.split(bare, r"\n+"), blocks, whole)
+
+
 def declared(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, own, score): the best template of each file's lines, where it reaches the threshold. Ties: the first identifier."""
+    """(path, own, score): the best template of each file's units, where it reaches the threshold. Ties: the first identifier."""
     spark = files.sparkSession
     weights, n = idf(files, templates)
     vectors = template_vectors(weights, templates)
     needed = F.array(*[F.lit(t) for t in needed_terms(vectors, threshold)])
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("terms", terms(F.col("line")))
+    # A text without a needed term has no unit with one: it isn't cut.
+    some = files.where(F.arrays_overlap(terms(F.col("text")), needed))
+    lines = some.select("path", F.posexplode(units(F.col("path"), F.col("text"))).alias("line_no", "line")).withColumn("terms", terms(F.col("line")))
     lines = lines.where(F.arrays_overlap("terms", needed)).select("path", "line_no", F.explode("terms").alias("term"))
     tf = lines.groupBy("path", "line_no", "term").agg(F.count("*").alias("tf"))
     # A row for each term of each template: as many as the templates have words.
