@@ -1,10 +1,13 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on nulls, empty texts, repeats and empty tables."""
 
+import bisect
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -55,29 +58,97 @@ def test_license_scan(spark, docs):
     assert got == {1: ("MIT", "MIT", None), 2: (None, "Apache-2.0", "a/b"), 3: ("Apache-2.0", "Apache-2.0", None), 4: ("GPL-3.0", "GPL-3.0", None), 5: (None, None, None), 6: (None, None, None), 7: (None, "MIT", "a")}
 
 
+def license_units(text, whole):
+    """Lines and blocks without comment marks, by hand."""
+    lines = []
+    for line in text.split("\n"):
+        line = re.sub(r"^[ \t]*(/\*+|\*+/|\*+|//+|#+|;+|--+|%+|<!--)?[ \t]*", "", line)
+        lines.append(re.sub(r"[ \t]*(\*+/|-->)?[ \t\r]*$", "", line))
+    out, block = list(lines), []
+    for line in [*lines, ""]:
+        if line:
+            block.append(line)
+        elif block:
+            out.append(" ".join(block))
+            block = []
+    return out + ([" ".join(lines)] if whole else [])
+
+
+HEADERS = {
+    "GPL-3.0": """/* prog.c
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful. */""",
+    "MIT": """// Copyright (c) 2020 Somebody
+//
+// Permission is hereby granted, free of charge, to any person obtaining a copy
+// of this software and associated documentation files (the "Software"), to deal
+// in the Software without restriction, including without limitation the rights
+// to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+// copies of the Software, subject to the following conditions:""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+import os""",
+    "BSD-3-Clause": """; Redistribution and use in source and binary forms, with or without
+; modification, are permitted provided that the following conditions are met:
+; 1. Redistributions of source code must retain the above copyright notice, this
+;    list of conditions and the following disclaimer.
+; 2. Redistributions in binary form must reproduce the above copyright notice,
+;    this list of conditions and the following disclaimer in the documentation
+;    and/or other materials provided with the distribution.
+; 3. Neither the name of Somebody nor the names of its contributors
+;    may be used to endorse or promote products derived from this software
+;    without specific prior written permission.""",
+    "LGPL-2.1": """-- This program is free software; you can redistribute it and/or modify it under the terms of
+-- the GNU Lesser General Public License as published by the Free Software Foundation; either
+-- version 2.1 of the License, or (at your option) any later version.""",
+}
+
+
+def test_license_headers_and_files_are_found(spark):
+    full = [t for i, t in license_scan.TEMPLATES if i == "MIT"][-1]
+    wrapped = "\n".join(full[k : k + 70] for k in range(0, len(full), 70))
+    rows = [(k, f"src/d{k}/a.c", f"int x;\n\n{t}\nint main() {{ }}\n") for k, t in enumerate(HEADERS.values())]
+    rows += [(100, "lib/LICENSE", "Somebody's library\n\n" + "\n\n".join(wrapped.split(". "))), (101, "lib/deep/er/x.c", "int y;"), (102, "other/x.c", "nothing to see here")]
+    rows += [(200 + k, f"more/{k}", f"plain text number {k} about the software you may use") for k in range(40)]
+    got = {r.doc_id: (r.own, r.licence, r.inherited_from) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {k: got[k][0] for k in range(len(HEADERS))} == dict(enumerate(HEADERS))
+    assert got[100][0] == "MIT" and got[101] == (None, "MIT", "lib") and got[102] == (None, None, None) and not any(got[200 + k][0] for k in range(40))
+
+
 def test_license_scores_equal_brute_force(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    words = set(license_scan.vocabulary())
-    held = collections.Counter(w for _, t in rows for w in set(license_scan._python_terms(t)) & words)
-    idf = {w: math.log((1 + len(rows)) / (1 + held[w])) + 1 for w in words}
+    rows += [(64_000 + k, t) for k, t in enumerate(HEADERS.values())]
+    held = collections.Counter(w for _, t in rows for w in set(license_scan._python_terms(t)))
+    idf = {w: math.log((1 + len(rows)) / (1 + held[w])) + 1 for w in {*held, *license_scan.vocabulary()}}
     unit = license_scan.template_vectors(idf)
     want = {}
     for i, t in rows:
         best = []
-        for line in t.split("\n"):
+        for line in license_units(t, i % 64 == 0):
             tf = collections.Counter(license_scan._python_terms(line))
-            v = {w: n * idf.get(w, math.log(1 + len(rows)) + 1) for w, n in tf.items()}
+            v = {w: n * idf[w] for w, n in tf.items()}
             norm = math.sqrt(sum(x * x for x in v.values())) or 1
             best += [(-round(sum(x * u.get(w, 0) for w, x in v.items()) / norm, 6), k) for (k, _), u in zip(license_scan.TEMPLATES, unit)]
         s, k = min(best)
         want[i] = (k, -s) if -s >= license_scan.THRESHOLD else (None, None)
-    got = queries.op1_license_scan(spark, SF).collect()
+    files = spark.createDataFrame([(i, t, "src") for i, t in rows], "doc_id long, text string, source string").withColumn("path", license_scan.path_of())
+    got = license_scan.scan(files).collect()
     assert {r.doc_id: (r.own, r.score and round(r.score, 6)) for r in got} == want and any(k for k, _ in want.values())
 
 
 @pytest.mark.parametrize("limit", [32 << 20, 0])
 def test_license_weighs_common_words_by_all_texts(spark, monkeypatch, limit):
     monkeypatch.setattr(license_scan, "BROADCAST", limit)
+    notice = license_scan.TEMPLATES[:1]
     header = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with it'
     texts = [f"plain{k}\n" + "you may not use this file except in compliance with it " * (k % 3 > 0) + "\napache\nversion\n2.0\nlicense" * (k % 10 == 0) for k in range(300)] + [header]
     held = collections.Counter(w for t in texts for w in set(license_scan._python_terms(t)))
@@ -85,18 +156,19 @@ def test_license_weighs_common_words_by_all_texts(spark, monkeypatch, limit):
 
     def cosine(weight):
         v = {w: n * weight(w) for w, n in collections.Counter(license_scan._python_terms(header)).items()}
-        unit = license_scan.template_vectors(true)[0]
+        unit = license_scan.template_vectors(true, notice)[0]
         return sum(x * unit.get(w, 0) for w, x in v.items()) / math.sqrt(sum(x * x for x in v.values()))
 
-    known = set(license_scan.vocabulary())
+    known = set(license_scan.vocabulary(notice))
     assert cosine(true.get) >= license_scan.THRESHOLD > cosine(lambda w: true[w] if w in known else math.log(1 + len(texts)) + 1)
     rows = spark.createDataFrame([(k, f"d/{k}", t) for k, t in enumerate(texts)], "doc_id long, path string, text string")
-    got = {r.doc_id: (r.own, r.score) for r in license_scan.scan(rows).where("own is not null").collect()}
+    got = {r.doc_id: (r.own, r.score) for r in license_scan.scan(rows, notice).where("own is not null").collect()}
     assert got == {300: ("Apache-2.0", pytest.approx(cosine(true.get), abs=1e-6))}
 
 
 def test_license_empty(spark, edge):
-    assert license_scan.scan(edge.withColumn("path", license_scan.path_of())).count() == len(EDGE)
+    got = {(r.doc_id, r.own, r.licence) for r in license_scan.scan(edge.withColumn("path", license_scan.path_of())).collect()}
+    assert got == {(i, None, None) for i, *_ in EDGE} and len(EDGE) == license_scan.scan(edge.withColumn("path", license_scan.path_of())).count()
     assert license_scan.scan(edge.limit(0).withColumn("path", license_scan.path_of())).count() == 0
 
 
@@ -127,6 +199,30 @@ def test_jaccard_equals_brute_force(spark):
     assert got == want and len({c for _, c in want.values()}) < len(rows)
 
 
+def test_jaccard_of_rows_that_share_a_doc_id(spark):
+    a, b, c = ("one two three four five six seven eight", "quite another text that has nothing in common with the first", "a third text of eight or more words here")
+    rows = [(7, a), (3, a), (7, b), (7, b), (9, c), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.ngram_jaccard_components(df).collect()), key=str)
+    assert got == sorted([(7, 4, 3), (3, 4, 3), (7, 7, 7), (7, 7, 7), (9, 5, 9), (None, None, None)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one_of_each(df).collect()), key=str)
+    assert kept == sorted([(3, a), (7, b), (7, b), (9, c), (None, a)], key=str)
+
+
+def test_jaccard_hot_shingles_in_blocks(spark, monkeypatch):
+    """Many documents share a passage but aren't similar; pairs are planted among them."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    passage, rows = " ".join(f"p{k}" for k in range(20)), []
+    for k in range(120):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        rows.append((k, passage + " " + " ".join(own)))
+        if k % 10 == 0:
+            rows.append((1000 + k, passage + " " + " ".join(own[:-1] + ["z"])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_model(rows)
+
+
 def test_jaccard_edges(spark, edge):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.ngram_jaccard_components(edge).collect()}
     assert {(1, 0, 1), (2, 0, 2), (5, 0, 5), (3, 2, 3), (None, None, None)} <= got
@@ -154,7 +250,9 @@ def test_media_edges_and_splits(spark, edge, tmp_path):
     assert media.media_columns(edge.limit(0)).count() == 0
     folder = f"file://{tmp_path}/m"
     manifest = media.write_archives(edge.repartition(2), folder)
-    assert media.read_archives(spark, folder, manifest, splitBytes=100).count() == len(EDGE)
+    split = media.read_archives(spark, folder, manifest, splitBytes=100)
+    assert split.count() == len(EDGE) and split.rdd.getNumPartitions() > 3
+    assert media.read_archives(spark, folder, splitBytes=100).count() == len(EDGE)
     damaged = spark.createDataFrame([(1, 3, bytearray(b"nothing"), None)], "doc_id long, n_bytes long, media binary, error string")
     bad = media.media_features(damaged).first()
     assert bad.payload_sha256 is None and bad.error
@@ -177,6 +275,8 @@ def test_media_retries():
     assert reader._member(Flaky(2), "p", None, 2, 3)[0] == b"cde"
     assert reader._member(Flaky(3), "p", None, 2, 3)[2] == "lost"
     assert reader._member(Flaky(0), "p", None, 5, 3)[2]
+    assert reader._member(Flaky(0), "p", None, 2, 3, zlib.crc32(b"cde"))[0] == b"cde"
+    assert "checksum" in reader._member(Flaky(0), "p", None, 2, 3, 1)[2]
 
 
 # ------------------------------------------------------------------ 4
@@ -311,6 +411,31 @@ def test_suffix_dedup_equals_brute_force(spark, docs, split, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()} == repeats_model(rows)
 
 
+@pytest.mark.parametrize("split", [4096, 0.00001])
+def test_suffix_dedup_of_rows_that_share_a_doc_id(spark, split, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPLIT_BLOCKS", split)
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    a, b, shared = word(150), word(160), word(140)
+    rows = [(1, a + shared), (2, b + shared), (2, shared + word(50)), (2, b + shared), (3, a), (None, shared)]
+    got = collections.defaultdict(list)
+    for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans))
+    # Doc 1 is first; of doc 2's rows each loses what is in doc 1, and equal rows lose the same; doc 3 is all in doc 1.
+    assert got[1] == [(290, 0, 0)] and got[3] == [(150, 150, 1)] and got[None] == [(140, 0, 0)]
+    assert sorted(got[2]) == [(190, 140, 1), (300, 140, 1), (300, 140, 1)]
+
+
+def test_strings_are_searched_by_their_bytes():
+    rng = np.random.default_rng(1)
+    text = rng.integers(0, 2, 600).astype(np.uint8) * 255
+    strings, raw = suffix_dedup.Strings(text, 12), text.tobytes()
+    ordered = np.array(sorted(range(588), key=lambda i: raw[i : i + 12]))
+    wanted = rng.integers(0, 588, 100)
+    keys = [raw[i : i + 12] for i in ordered]
+    assert strings.lower(ordered, wanted).tolist() == [bisect.bisect_left(keys, raw[i : i + 12]) for i in wanted]
+
+
 def test_suffix_edges(spark, edge):
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(edge).collect())
     assert got[0] == ("1", 0, 0) and got[1] == ("2", 0, 0) and [x for x in got if x[0] == "4"] == [("4", 21000, 20993)]
@@ -346,6 +471,58 @@ def test_packing_places_every_id_once(spark, docs):
                 assert abs(sum(n for _, n, y in x if y == s) - packing.LENGTH * share[s] / total) < 2
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_round_robin_equals_the_rounds_one_by_one(seed):
+    """Every slot is taken once, and each window's part of a queue is its quantum in exact fractions, less than two tokens off."""
+    rng = np.random.default_rng(seed)
+    totals = [int(x) for x in rng.integers(1, 400, int(rng.integers(1, 6)))]
+    weights = [int(x) for x in rng.integers(1, 6, len(totals))] if seed % 3 else totals
+    length, have = int(rng.choice([7, 16, 64])), collections.Counter()
+    rounds, slots = packing.RoundRobin(totals, weights, length), []
+    for q, total in enumerate(totals):
+        place = 0
+        while place < total:
+            n, done = min(int(rng.integers(1, 60)), total - place), 0
+            for start, size, window, offset in (packing.RoundRobin(totals, weights, length) if rng.random() < 0.3 else rounds).pieces(q, place, n):
+                assert start == done and size > 0
+                slots += range(window * length + offset, window * length + offset + size)
+                have[window, q] += size
+                done += size
+            assert done == n
+            place += n
+    assert sorted(slots) == list(range(sum(totals)))
+    sent = [Fraction(0)] * len(totals)
+    for window in range(-(-sum(totals) // length)):
+        need, got = Fraction(min(length, sum(totals) - window * length)), [Fraction(0)] * len(totals)
+        while need > 0:
+            open_ = [k for k in range(len(totals)) if sent[k] + got[k] < totals[k]]
+            share = sum(weights[k] for k in open_)
+            step = min([need] + [(totals[k] - sent[k] - got[k]) * share / Fraction(weights[k]) for k in open_])
+            for k in open_:
+                got[k] += step * Fraction(weights[k], share)
+            need -= step
+        assert all(abs(have[window, k] - got[k]) < 2 for k in range(len(totals)))
+        sent = [a + b for a, b in zip(sent, got)]
+
+
+def test_packing_follows_target_weights(spark, docs):
+    small = docs.where("source in ('src1', 'src2', 'src3')")
+    pieces = packing.pack(small.repartition(3), weights={"src1": 1, "src2": 2.5, "src3": 0.5}).collect()
+    total = collections.Counter()
+    for p in pieces:
+        total[p.source] += p.length
+    by_window = collections.defaultdict(collections.Counter)
+    for p in pieces:
+        by_window[p.sequence_id][p.source] += p.length
+    # While all queues last every window has the weights' proportions.
+    open_until = min(int(total[s] * 4 / w) for s, w in (("src1", 1), ("src2", 2.5), ("src3", 0.5))) // packing.LENGTH
+    for w in range(open_until):
+        assert all(abs(by_window[w][s] - packing.LENGTH * x / 4) < 2 for s, x in (("src1", 1), ("src2", 2.5), ("src3", 0.5)))
+    assert all(sum(c.values()) == packing.LENGTH for w, c in by_window.items() if w < max(by_window))
+    with pytest.raises(ValueError):
+        packing.pack(small, weights={"src1": 1})
+
+
 def test_packing_edges(spark, edge):
     got = packing.pack(edge).collect()
     assert sorted((str(r.doc_id), r.doc_tokens) for r in got if r.doc_tokens < 9 and r.start == 0) == [("1", 1), ("2", 1), ("3", 7), ("3", 7), ("5", 1), ("None", 6)]
@@ -374,14 +551,67 @@ def test_language_model(spark):
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (total + known + 1)) for w in x))
         assert r.score < 0
     held = [r for r in got if r.held_out]
-    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert held and gain > 0.2
 
 
-def test_language_model_is_normalised():
+def test_language_model_is_normalised_and_learns_by_its_gradient():
     rng = np.random.default_rng(0)
-    model = language_model.Maxent(rng.normal(0, 1, (language_model.KINDS * language_model.ROWS, language_model.CLASSES)).astype(np.float32))
-    f = np.stack([rng.integers(0, language_model.ROWS, 50) + k * language_model.ROWS for k in range(language_model.KINDS)], axis=1)
-    assert np.allclose(model.probabilities(f).sum(axis=1), 1, atol=1e-5)
+    rows, n = 64, 300
+    model = language_model.Maxent(rng.normal(0, 1, (language_model.LEVELS, language_model.KINDS, rows, language_model.WAYS)).astype(np.float32))
+    contexts, leaf = rng.integers(0, 1 << 62, (language_model.KINDS, n)).astype(np.uint64), rng.integers(0, language_model.LEAVES, n)
+    total = np.zeros(n)
+    for level in range(language_model.LEVELS):
+        f = language_model.features_of(contexts, leaf, level, rows)
+        p = model.probabilities(level, f)
+        assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+        for t in range(0, n, 37):  # by plain loops
+            z = [sum(float(model.w[level, k, f[k, t], c]) for k in range(language_model.KINDS)) for c in range(language_model.WAYS)]
+            y = leaf[t] // language_model.WAYS ** (language_model.LEVELS - 1 - level) % language_model.WAYS
+            assert p[t, y] == pytest.approx(math.exp(z[y]) / sum(map(math.exp, z)), rel=1e-3)
+        total += np.log10(p[np.arange(n), language_model.outcome(leaf, level)])
+    assert np.allclose(model.log10(contexts, leaf), total, atol=1e-4)
+    # A leaf's path is its own, and steps over the same tokens make them likelier.
+    paths = np.stack([language_model.outcome(np.arange(language_model.LEAVES), k) for k in range(language_model.LEVELS)])
+    assert len(np.unique(paths, axis=1).T) == language_model.LEAVES
+    power, before = np.zeros_like(model.w), total.mean()
+    for _ in range(5):
+        model.learn(contexts, leaf, power)
+    assert model.log10(contexts, leaf).mean() > before + 0.3
+
+
+def test_language_model_scores_equal_brute_force(spark):
+    """score by plain counts and the trained network's own probabilities."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    seen = {}
+    real = language_model.train
+
+    def keep(texts, size):
+        seen["model"] = real(texts, size)
+        return seen["model"]
+
+    language_model.train = keep
+    try:
+        got = {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        language_model.train = real
+    count, leaf_of, parts = collections.Counter(), {}, {}
+    for i, t in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        h, tail, doc = language_model.tokens_of(raw, np.array([0, len(raw)]))
+        leaf = language_model.leaves_of(h, tail)
+        leaf_of |= dict(zip(h.tolist(), leaf.tolist()))
+        parts[i] = (h.tolist(), leaf, language_model.contexts_of(h, tail, doc))
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            count.update(h.tolist())
+    tokens, words = collections.Counter(), collections.Counter()
+    for w, n in count.items():
+        tokens[leaf_of[w]] += n
+        words[leaf_of[w]] += 1
+    for i, (h, leaf, contexts) in parts.items():
+        within = sum(math.log10((count[w] + 1) / (tokens[k] + words[k] + 1)) for w, k in zip(h, leaf.tolist()))
+        assert got[i] == pytest.approx(seen["model"].log10(contexts, leaf).sum() + within, rel=1e-5)
 
 
 def test_language_model_edges(spark, edge):
@@ -408,6 +638,17 @@ def test_mixing_edges(spark, edge):
     assert mixing.mix(edge.limit(0)).count() == 0 and mixing.mixed(edge).columns == edge.columns
 
 
+def test_mixing_of_rows_that_share_a_doc_id(spark):
+    rows = [(1, "a b c", "s"), (1, "d e f g", "s"), (1, "d e f g", "t"), (None, "h i", "s"), (None, "j", "t"), (2, "k l", "t"), (2, "k l", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.lit("clash"))
+    n = collections.Counter((r.doc_id, r["size"], r.copies) for r in mixing.mix(df).collect())
+    assert sum(n.values()) == len(rows)
+    out = collections.Counter((r.doc_id, r.text, r.source) for r in mixing.mixed(df).collect())
+    assert set(out) <= set(rows) and mixing.mixed(df).columns == df.columns
+    taken = sum(r.taken for r in mixing.mix(df).collect())
+    assert abs(taken - sum(len(t.split()) for _, t, _ in rows)) <= 8
+
+
 # ------------------------------------------------------------------ 9
 def quality_model(t):
     t = t or ""
@@ -444,6 +685,47 @@ def test_viterbi_equals_brute_force():
         assert tuple(labels[at]) == best
 
 
+def test_field_gradient_equals_brute_force():
+    rng = np.random.default_rng(2)
+    size, field = np.array([4, 3, 1]), quality.LineField(rng.normal(0, 1, (quality.FEATURES, 2)), rng.normal(0, 1, (2, 2)))
+    x, y = rng.normal(0, 1, (3, 4, quality.FEATURES)), rng.integers(0, 2, (3, 4))
+
+    def likelihood():
+        total = 0
+        for k, n in enumerate(size):
+            s = x[k, :n] @ field.emit
+            value = lambda z: sum(s[t, c] for t, c in enumerate(z)) + sum(field.move[a, b] for a, b in zip(z, z[1:]))  # noqa: B023, E731
+            every = [value(z) for z in itertools.product((0, 1), repeat=int(n))]
+            total += value(y[k, :n]) - math.log(sum(map(math.exp, every)))
+        return total
+
+    have, emit, move = field.gradient(x, y, size)
+    assert have == pytest.approx(likelihood())
+    for w, g in ((field.emit, emit), (field.move, move)):
+        for at in np.ndindex(w.shape):
+            keep = w[at]
+            w[at] = keep + 1e-6
+            up = likelihood()
+            w[at] = keep - 1e-6
+            down = likelihood()
+            w[at] = keep
+            assert (up - down) / 2e-6 == pytest.approx(g[at], abs=1e-5)
+
+
+def test_quality_marks_lines_of_mixed_documents(spark):
+    """Clean documents, junk ones that begin with clean lines, and texts of both: shares lie between, by their lines."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    field = quality.fit(docs, labels)
+    assert field.move[0, 0] > field.move[0, 1] and field.move[1, 1] > field.move[1, 0]
+    clean = [f"This is a plain sentence number {k} about quite ordinary things, and it ends well." for k in range(40)]
+    junk = [" ".join(f"word{k}{j}{'***' if j % 2 else '&&&'} $$$ ###" for j in range(8)) + " %%%" for k in range(40)]
+    texts = {1: clean[:20], 2: junk[:20], 3: clean[:10] + junk[:10], 4: clean[:5] + junk[:5] + clean[5:15]}
+    rows = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    for r in quality.judge(rows, field).collect():
+        want = sum(len(x) for x in texts[r.doc_id] if x in clean) / sum(map(len, texts[r.doc_id]))
+        assert r.content_share == pytest.approx(want, abs=0.12), r.doc_id
+
+
 def test_quality_learns(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality(docs, labels).join(labels, "doc_id").where("not base_failed").collect()
@@ -463,6 +745,66 @@ def test_language_id(spark, edge):
     assert {r.lang_pred for r in language_id.predict(edge, None).collect()} == {"und"}
 
 
+def slow_forward(network, window):
+    """One window by plain loops."""
+    x = [[float(v) for v in network.p["e"][b]] for b in window]
+    h = []
+    for w in language_id.WIDTHS:
+        for f in range(language_id.FILTERS):
+            best = max(sum(x[t + i][e] * float(network.p[f"w{w}"][i * language_id.EMBED + e, f]) for i in range(w) for e in range(language_id.EMBED)) for t in range(len(x) - w + 1))
+            h.append(max(best + float(network.p[f"b{w}"][f]), 0))
+    z = [sum(v * float(network.p["o"][k, c]) for k, v in enumerate(h)) + float(network.p["ob"][c]) for c in range(len(network.langs))]
+    top = max(z)
+    return [math.exp(v - top) / sum(math.exp(u - top) for u in z) for v in z]
+
+
+def test_network_equals_plain_loops_and_its_gradient_the_differences():
+    rng = np.random.default_rng(3)
+    network = language_id.Network(["a", "b", "c"])
+    win = rng.integers(0, 256, (4, 20)).astype(np.uint8)
+    assert np.allclose(network.forward(win), [slow_forward(network, w) for w in win], atol=1e-4)
+    network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    y = np.array([0, 1, 2, 1])
+    loss = lambda: -np.log(network.forward(win)[np.arange(4), y]).mean()
+    g = network.gradients(win, y)
+    for name, value in network.p.items():
+        for _ in range(6):
+            at = tuple(int(rng.integers(0, n)) for n in value.shape) if name != "e" else (int(win[rng.integers(0, 4), rng.integers(0, 20)]), int(rng.integers(0, language_id.EMBED)))
+            keep, step = value[at], 1e-6
+            value[at] = keep + step
+            up = loss()
+            value[at] = keep - step
+            down = loss()
+            value[at] = keep
+            assert (up - down) / (2 * step) == pytest.approx(g[name][at], abs=1e-5)
+
+
+def test_language_of_many_languages_and_rows(spark):
+    rows = [(k, f"{chr(0x4E00 + k % 300)}{chr(0x4E00 + k % 300)} text", f"l{k % 300:03d}") for k in range(600)]
+    network = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(network.langs) == len({lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}) > 256
+    odd = spark.createDataFrame([(None, "word", None, 1), (1, "12", "en", 2), (1, "word", "en", 3), (1, None, "en", 4)], "doc_id long, text string, lang string, c0 int")
+    assert [tuple(r) for r in language_id.with_language(odd).orderBy("c0").collect()] == [(None, "word", None, 1), (1, "word", "en", 3)]
+    none = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.with_language(none).count() == 2 and language_id.with_language(none.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ pipeline
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, repeated rows, one doc_id with unlike texts, a very long text and columns of clashing names."""
+    long = " ".join(f"word{k * 7919 % 99991}" for k in range(300_000))
+    rows = [(1, None, "a", "en", 0), (None, "text without an id", None, None, 1), (2, "same words again", "a", "en", 2), (2, "same words again", "a", "en", 3), (2, "unlike words of another row", "a", "en", 4), (3, long, "b", None, 5), (4, "12 34", "b", "en", 6), (None, None, None, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, node long").withColumn("row", F.lit(1)).withColumn("n_chars", F.length("text").cast("long"))
+    out = df
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, df.limit(0), SF)
+        assert empty.count() == 0 and (name == "packed" or empty.columns == df.columns)
+        out = stage(spark, out, SF)
+        if name in ("language", "lines", "near_duplicates"):
+            assert sorted(r.node for r in out.collect()) == [1, 2, 3, 4, 5]
+    assert {r.doc_id for r in out.collect()} <= {None, 2, 3}
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline(spark, docs):
     rows, before = docs, docs
