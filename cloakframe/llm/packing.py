@@ -139,12 +139,14 @@ class RoundRobin:
 
     #: Windows whose rounds are worked out together.
     CHUNK = 256
+    #: Numbers of such chunks that are kept.
+    KEPT = 1 << 20
 
     def __init__(self, totals, weights, length: int):
         self.totals, self.weights, self.length = np.asarray(totals, np.int64), np.asarray(weights, np.float64), length
         if len(self.totals) != len(self.weights) or not (self.weights > 0).all():
             raise ValueError("every source needs a positive weight")
-        self.total, self._chunks, self._last = int(self.totals.sum()), {}, {}
+        self.total, self._chunks, self._turns, self._last = int(self.totals.sum()), {}, {}, {}
 
     def _due(self, v: np.ndarray) -> np.ndarray:
         """(times, queues): how many tokens of each queue are due at time v or before."""
@@ -155,21 +157,38 @@ class RoundRobin:
         n -= (n > 0) & ((n - 0.5) / w > v)
         return n.astype(np.int64)
 
+    def _search(self, t: np.ndarray, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
+        """(what each queue has sent, a time) when t tokens have been sent, by bisection of times from lo (fewer due) to hi (as many)."""
+        lo, hi, time = np.full(len(t), lo), np.full(len(t), hi), np.full(len(t), hi)
+        out, open_ = np.zeros((len(t), len(self.totals)), np.int64), np.arange(len(t))
+        while len(open_):
+            mid = lo[open_] + (hi[open_] - lo[open_]) / 2
+            n = self._due(mid)
+            sum_ = n.sum(axis=1)
+            enough = sum_ >= t[open_]
+            lo[open_], hi[open_] = np.where(enough, lo[open_], mid), np.where(enough, mid, hi[open_])
+            done = sum_ == t[open_]
+            at = lo[open_] + (hi[open_] - lo[open_]) / 2
+            stuck = (at <= lo[open_]) | (at >= hi[open_])
+            out[open_[done]] = n[done]
+            if len(tied := open_[stuck & ~done]):
+                # Neighbouring times: of the tokens due at the later one the last queues' ones wait.
+                n = self._due(hi[tied])
+                due = n - self._due(lo[tied])
+                waiting = np.cumsum(due[:, ::-1], axis=1)[:, ::-1]
+                out[tied] = n - ((due > 0) & (waiting <= (n.sum(axis=1) - t[tied])[:, None]))
+            time[open_] = hi[open_]
+            open_ = open_[~(done | stuck)]
+        return out, time
+
     def sent(self, t) -> np.ndarray:
-        """(numbers, queues): what each queue has sent when t tokens have been sent in all."""
+        """(numbers, queues): what each queue has sent when t tokens have been sent in all; t ascends."""
         t = np.minimum(np.asarray(t, np.int64), self.total)
-        lo, hi = np.full(len(t), -1.0), np.full(len(t), float(((self.totals + 0.5) / self.weights).max(initial=0)))
-        while True:
-            mid = lo + (hi - lo) / 2
-            if not ((mid > lo) & (mid < hi)).any():
-                break
-            enough = self._due(mid).sum(axis=1) >= t
-            lo, hi = np.where(enough, lo, np.maximum(lo, mid)), np.where(enough, np.minimum(hi, mid), hi)
-        n = self._due(hi)
-        # Of the tokens due at that very time the last queues' ones wait.
-        tied = n - self._due(lo)
-        waiting = np.cumsum(tied[:, ::-1], axis=1)[:, ::-1]
-        return n - ((tied > 0) & (waiting <= (n.sum(axis=1) - t)[:, None]))
+        last = float(((self.totals + 0.5) / self.weights).max(initial=0))
+        _, ends = self._search(t[[0, -1]], -1.0, last)
+        # The first time may have more due than its number of tokens: the search begins just before what can be due then.
+        step = float((1 / self.weights).max(initial=0))
+        return self._search(t, max(-1.0, ends[0] - 2 * step), ends[1])[0]
 
     def window_of(self, queue: int, place: int) -> int:
         """The window in which a queue sends its token at place: by the number of tokens due before it."""
@@ -180,14 +199,17 @@ class RoundRobin:
     def turn(self, queue: int, window: int) -> tuple[int, int, int]:
         """(first token, tokens, offset in the window) of a queue in a window."""
         k, at = divmod(window, self.CHUNK)
-        if k not in self._chunks:
-            sent = self.sent(np.arange(k * self.CHUNK, (k + 1) * self.CHUNK + 1) * self.length)
-            size = np.diff(sent, axis=0)
-            if len(self._chunks) > 8:
-                self._chunks.clear()
-            self._chunks[k] = sent.T.tolist(), size.T.tolist(), (np.cumsum(size, axis=1) - size).T.tolist()
-        first, size, offset = self._chunks[k]
-        return first[queue][at], size[queue][at], offset[queue][at]
+        have = self._turns.get(queue)
+        if have is None or have[0] != k:
+            # Queues are at windows of their own: each keeps its turns of a chunk, and the chunks worked out last are kept whole.
+            if k not in self._chunks:
+                sent = self.sent(np.arange(k * self.CHUNK, (k + 1) * self.CHUNK + 1) * self.length)
+                size = np.diff(sent, axis=0)
+                while self._chunks and len(self._chunks) * sent.size > self.KEPT:
+                    del self._chunks[next(iter(self._chunks))]
+                self._chunks[k] = sent, size, np.cumsum(size, axis=1) - size
+            have = self._turns[queue] = k, *(x[: self.CHUNK, queue].tolist() for x in self._chunks[k])
+        return have[1][at], have[2][at], have[3][at]
 
     def pieces(self, queue: int, place: int, n: int):
         """(start, length, window, offset) of the pieces of n tokens from place of a queue."""
