@@ -100,6 +100,40 @@ _detect("detect_social", "konta_social", "dossier", r"(?:^|[^\p{L}\p{N}_])(@[A-Z
 _detect("institution", "firmy_instytucje", "dossier", r"(?i)⟦urząd⟧\s⟦[\p{L}\p{N}_]+⟧|⟦(?:[\p{L}\p{N}_]+)⟧(?:\s⟦[\p{L}\p{N}_]+⟧)?\s+⟦sp⟧\.\s⟦z⟧\s⟦o⟧\.⟦o⟧", before=_WORDS, after=_BARE)
 
 
+# Forms that the dossier lacks, by the remainder of a key.
+_SOCIAL = "CASE o_orderkey % 5 WHEN 0 THEN 'twitter.com/user_' || o_orderkey WHEN 1 THEN 'linkedin.com/in/u-' || o_orderkey WHEN 2 THEN 'x.com/a.b' || o_orderkey WHEN 3 THEN '@ab' || o_orderkey ELSE 'mail@ab' || o_orderkey END"
+_SUFFIXES = ("sp. z o.o.", "S.A.", "sp. k.", "sp. j.", "spółka akcyjna", "spółka z ograniczoną odpowiedzialnością", "Ltd.", "LLC", "GmbH", "s.r.o.", "inc.")
+_PLACES = ("Urząd Skarbowy", "Sąd Rejonowy", "sąd okręgowy", "Sąd Apelacyjny", "Ministerstwo Finansów", "Prokuratura Krajowa", "Starostwo Powiatowe", "Sąd Najwyższy", "Urząd gminy")
+
+
+def _of_orders(select: str) -> str:
+    return f"SELECT o_orderkey AS doc_id, {select} AS text FROM orders"
+
+
+def _picked(values, key: str) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN {quoted(v)}" for k, v in enumerate(values)) + " END"
+
+
+def _over_orders(spark, sf_dir, select: str) -> DataFrame:
+    return spark.sql(_of_orders(select).replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
+def _forms(name: str, category: str, select: str, value: str, keep: str) -> None:
+    """A query over texts made by select, of which value is found where keep holds."""
+    ORACLE[name] = f"SELECT doc_id, value, 1::BIGINT AS n FROM (SELECT o_orderkey AS doc_id, o_orderkey, {value} AS value FROM orders) WHERE {keep}"
+
+    def run(spark, sf_dir):
+        return _values(_over_orders(spark, sf_dir, select), category)
+
+    QUERIES[name] = run
+
+
+_forms("detect_social_profiles", "konta_social", f"'Profil: ' || {_SOCIAL} || ', koniec'", _SOCIAL, "o_orderkey % 5 < 4")
+_forms("detect_vin_letters_and_digits", "vin", "'VIN ' || " + (_vin := "CASE o_orderkey % 4 WHEN 0 THEN 'WVWZZZJZXWABCDEFG' WHEN 1 THEN '12345678901234567' WHEN 2 THEN 'WVWZZZ1JZXW' || lpad(cast(o_orderkey % 1000000 AS string), 6, '0') ELSE 'WVWZZZ1JZXO' || lpad(cast(o_orderkey % 1000000 AS string), 6, '0') END") + " || '.'", _vin, "o_orderkey % 4 = 2")
+_forms("company_suffix", "firmy_instytucje", f"'Umowa: Alpha Beta ' || {_picked(_SUFFIXES, 'o_orderkey')} || ' i koniec'", f"'Alpha Beta ' || rtrim({_picked(_SUFFIXES, 'o_orderkey')}, '.')", f"o_orderkey % {len(_SUFFIXES)} IN (0, 4, 5, 6, 7, 8, 9)")  # a form that ends with its dot needs a letter behind it
+_forms("institution_kinds", "firmy_instytucje", f"'Pismo: ' || {_picked(_PLACES, 'o_orderkey')} || ', koniec'", _picked(_PLACES, "o_orderkey"), "o_orderkey % 9 <> 7")
+
+
 # ------------------------------------------------------------------ checksums
 _IDS = """SELECT o_orderkey AS doc_id, lpad(cast(44051400000 + o_orderkey * 7919 AS string), 11, '0') AS pesel, lpad(cast(1000000000 + o_orderkey * 104729 AS string), 10, '0') AS nip,
  lpad(cast(100000000 + o_orderkey * 7919 AS string), 9, '0') AS regon9, lpad(cast(10000000000000 + o_orderkey * 104729 AS string), 14, '0') AS regon14,
