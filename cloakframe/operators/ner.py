@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -15,10 +16,18 @@ LABELS = {
     "persName": "imiona_nazwiska", "PERSON": "imiona_nazwiska", "PER": "imiona_nazwiska", "orgName": "firmy_instytucje", "ORG": "firmy_instytucje",
     "placeName": "miasta", "GPE": "miasta", "LOC": "miasta",
 }
-#: A worker's models by the name of what loads them.
+#: A worker's models, by the call that they were loaded for.
 _LOADED: dict[str, Callable] = {}
 
 
+def model_of(name: str, load: Callable[[], Callable]) -> Callable:
+    """The worker's own model: looked up by the module, so that later tasks of the process find it."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
+
 def with_entities(df: DataFrame, load: Callable[[], Callable[[str], Iterable[tuple[int, int, str]]]], labels: dict[str, str] = LABELS) -> DataFrame:
     """df (text, ...) with extra: the matches that a model finds, for plans.api and spans.detect.
 
@@ -27,12 +36,10 @@ def with_entities(df: DataFrame, load: Callable[[], Callable[[str], Iterable[tup
     """
     columns, at = df.columns, df.columns.index("text")
     keep = [c for c in columns if c != "extra"]
-    name = f"{load.__module__}.{load.__qualname__}"
+    name = uuid.uuid4().hex
 
     def run(batches):
-        if name not in _LOADED:
-            _LOADED[name] = load()
-        model = _LOADED[name]
+        model = model_of(name, load)
         for pdf in batches:
             out = []
             for text, had in zip(pdf.iloc[:, at], pdf["extra"] if "extra" in columns else [None] * len(pdf)):

@@ -123,16 +123,15 @@ def test_pages_and_formats(spark, tmp_path):
     assert files.readable()["pdf"] and not files.readable().get("xyz")
 
 
-def _load_model():
-    def model(text):
-        return [(text.index("Anna"), text.index("Anna") + 4, "persName"), (0, 2, "OTHER"), (0, 2, "ORG")] if "Anna" in text else []
-
-    return model
+def test_entities_of_a_model(spark):
+    def load():
+        def model(text):
+            return [(text.index("Anna"), text.index("Anna") + 4, "persName"), (0, 2, "OTHER"), (0, 2, "ORG")] if "Anna" in text else []
 
+        return model
 
-def test_entities_of_a_model(spark):
     df = spark.createDataFrame([(1, "Pani Anna, a@b.pl"), (2, None), (3, "nic")], "doc_id long, text string")
-    marked = ner.with_entities(df, _load_model)
+    marked = ner.with_entities(df, load)
     out = {r.doc_id: r.text_out for r in api.anonymise(marked, categories=["email", "imiona_nazwiska"]).texts.collect()}
     assert out == {1: "Pani [OSOBA_1], [EMAIL_1]", 2: None, 3: "nic"}
 
