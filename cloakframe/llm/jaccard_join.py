@@ -33,7 +33,7 @@ PER_BUCKET = 2_000_000
 SET_BLOCK = 16 << 20
 FRAGMENTS = 8
 #: Documents of one shingle that are paired with each other in one block.
-BLOCK = 1024
+BLOCK = 1 << 14
 ID_BITS = 58
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
