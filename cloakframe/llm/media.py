@@ -120,9 +120,10 @@ class ByteRange(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
+        options = {k.lower(): v for k, v in options.items()}  # Spark gives them in lower case
         self.folder = options["path"]
         self.manifest = options.get("manifest")
-        self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        self.split = int(options.get("splitbytes", SPLIT_BYTES))
         self.retries = int(options.get("retries", 3))
 
     def partitions(self):
