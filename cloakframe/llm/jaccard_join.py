@@ -6,7 +6,7 @@
 3. The global order is (document frequency by powers of two, hash), cut at pivots into fragments: a set is a row for each fragment that
    it has shingles in. Two linked sets share a shingle among the first n - ceil(t n) + 1 of each; unshared ones come first and cost
    nothing.
-4. Candidates of a shingle are a star around one document. Each fragment counts the partial overlap of its candidates in a task of its
+4. Candidates of a shingle are a star around its earliest document. Each fragment counts the partial overlap of its candidates in a task of its
    own, and the partial counts are summed per pair.
 5. Where a star leaves a shingle's documents in several components, the pairs between components are verified too;
    pairs inside a component can't change it. So no link between components is lost and a large group of near
@@ -31,7 +31,7 @@ from .common import LOWER, blocks_for, components, finished, in_blocks, mix, pre
 PER_BUCKET = 2_000_000
 #: Bytes of text whose sets are sent together.
 SET_BLOCK = 16 << 20
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Documents of one shingle that are paired with each other in one block.
 BLOCK = 1 << 14
 ID_BITS = 58
@@ -226,9 +226,9 @@ def _shared_among(sets: DataFrame, percent: int, least: Column) -> DataFrame:
     met = prefix.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
     some = prefix.join(met, "token", "left_semi").select("doc_id").distinct()
     left = sets.join(some, "doc_id", "left_semi")
-    token = left.select("doc_id", "n", F.explode("tokens").alias("token"))
+    token = left.select("doc_id", "n", "o", F.explode("tokens").alias("token"))
     common = token.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
-    kept = token.join(common, "token", "left_semi").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    kept = token.join(common, "token", "left_semi").groupBy("doc_id", "n", "o").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
     return kept.where(F.size("tokens") >= least)
 
 
@@ -261,12 +261,13 @@ def _members(docs: DataFrame, percent: int, width: int) -> DataFrame:
     least = F.expr(f"cast((n * {int(percent)} + 99) div 100 as int)")
     of = classes.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.row").alias("row"), *prints, "node")
     sets = found.where("tokens is not null").join(of, ["doc_id", "row", *prints]).dropDuplicates(["doc_id", "row", *prints])
-    sets = stored(sets.select(F.col("node").alias("doc_id"), "n", "tokens").where(F.size("tokens") >= least), "sets")
+    sets = stored(sets.select(F.col("node").alias("doc_id"), "n", F.col("doc_id").alias("o"), "tokens").where(F.size("tokens") >= least), "sets")
     sets = stored(_shared_among(sets, percent, least), "sets")
     segments = stored(_segments(sets, _pivots(sets, FRAGMENTS)), "segments")
     # A document's other shingles are in no other set: they bound what two sets can share, and how small their union can be.
-    prefix = sets.select("doc_id", "n", F.size("tokens").cast("long").alias("s"), F.explode(_prefix(percent)).alias("token"))
-    star = prefix.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
+    prefix = sets.select("doc_id", "n", "o", F.size("tokens").cast("long").alias("s"), F.explode(_prefix(percent)).alias("token"))
+    # The star's centre is the earliest document: copies are mostly most like what they were made from.
+    star = prefix.groupBy("token").agg(F.min_by("doc_id", "o").alias("a"), F.count("*").alias("c")).where("c > 1")
     fits = F.expr(f"100 * least(sa, sb) >= {int(percent)} * (na + nb - least(sa, sb))")
     spokes = prefix.join(star.select("token", "a"), "token").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).distinct()
     pairs = spokes.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.size("tokens").cast("long").alias("sa")), "a").where(fits).select("a", "b", "na", "nb")
@@ -275,7 +276,7 @@ def _members(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
     # What the stars left apart: pairs between components of one shingle.
     of = sets.select("doc_id").join(grouped, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    apart = prefix.join(of, "doc_id")
+    apart = prefix.drop("o").join(of, "doc_id")
     apart = stored(_apart(apart), "apart")
     held = apart.select("doc_id", "token").distinct().groupBy("doc_id").agg(F.collect_list("token").alias("p"))
     apart = apart.join(held, "doc_id")
