@@ -31,7 +31,7 @@ from .common import LOWER, blocks_for, components, finished, in_blocks, mix, pre
 PER_BUCKET = 2_000_000
 #: Bytes of text whose sets are sent together.
 SET_BLOCK = 16 << 20
-FRAGMENTS = 4
+FRAGMENTS = 8
 #: Documents of one shingle that are paired with each other in one block.
 BLOCK = 1 << 14
 ID_BITS = 58
