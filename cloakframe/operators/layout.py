@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rewrite import PAGE_NUMBER, PAGE_OF, spliced
+from .spans import shuffled
 
 
 def run_offsets(runs: DataFrame) -> DataFrame:
@@ -19,11 +20,11 @@ def splice_runs(runs: DataFrame, replaced: DataFrame) -> DataFrame:
     span covers. replaced: doc_id, seg_no, start_pos, end_pos, placeholder."""
     r = run_offsets(runs)
     z = replaced.select(F.col("doc_id").alias("_d"), F.col("seg_no").alias("_g"), F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e"), "placeholder")
-    hit = r.join(z, F.expr("doc_id = _d and seg_no = _g and end_pos > _s and start_pos < _e"))
+    hit = r.join(shuffled(z), F.expr("doc_id = _d and seg_no = _g and end_pos > _s and start_pos < _e"))
     first = F.row_number().over(Window.partitionBy("doc_id", "seg_no", "_s").orderBy("run_no")) == 1
     cut = F.struct((F.greatest("_s", "start_pos") - F.col("start_pos")).alias("start"), (F.least("_e", "end_pos") - F.col("start_pos")).alias("end"), F.when(first, F.col("placeholder")).otherwise("").alias("placeholder"))
     cuts = hit.select("doc_id", "seg_no", "run_no", cut.alias("c")).groupBy("doc_id", "seg_no", "run_no").agg(F.collect_list("c").alias("_c"))
-    out = r.join(cuts, ["doc_id", "seg_no", "run_no"], "left")
+    out = r.join(shuffled(cuts), ["doc_id", "seg_no", "run_no"], "left")
     return out.select("doc_id", "seg_no", "run_no", F.when(F.col("_c").isNull(), F.col("text")).otherwise(spliced(F.col("text"), F.col("_c"))).alias("text"))
 
 
@@ -54,7 +55,7 @@ def covered_boxes(words: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, start_pos, n_boxes, left, top) for each span: the boxes of the words that it overlaps, and the first one's
     place."""
     m = found.select(F.col("doc_id").alias("_d"), F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e"))
-    hit = words.join(m, F.expr("doc_id = _d and end_pos > _s and start_pos < _e"))
+    hit = words.join(shuffled(m), F.expr("doc_id = _d and end_pos > _s and start_pos < _e"))
     box = F.min_by(F.struct("left", "top"), "start_pos")
     return hit.groupBy("doc_id", F.col("_s").alias("start_pos")).agg(F.count("*").alias("n_boxes"), box.alias("b")).select("doc_id", "start_pos", "n_boxes", "b.left", "b.top")
 
