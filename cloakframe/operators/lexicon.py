@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import clean, spans
+from .spans import clean, folded, once, pieces, rest_of, value_of
 
 #: What a capitalised word begins and goes on with.
 CAPITAL = "[A-ZŁŚŻŹĆŃÓĄĘ]"
@@ -16,11 +16,11 @@ NEXT = rf"(?U)^\s+({CAPITAL}{REST}+)"
 WINDOW = 40
 
 
-def sentence_start(text: Column, place: Column) -> Column:
-    """Whether the place (from 0) begins a sentence: nothing, an empty line or a sentence's end before it; a single line feed
-    doesn't."""
-    before = F.regexp_replace(F.substr(text, F.lit(1), place), "[ \\t]+$", "")
-    return F.when(before == "", True).when(F.endswith(before, F.lit("\n\n")) | F.endswith(before, F.lit("\n\r\n")), True).when(F.endswith(before, F.lit("\n")), False).otherwise(F.substring(before, -1, 1).isin(".", "!", "?"))
+def sentence_start(gap: Column, first: Column) -> Column:
+    """Whether a sentence begins behind gap, what lies between a word and the one before it (first: the text's begin): nothing, an
+    empty line or a sentence's end; a single line feed doesn't. A gap of blanks follows a word, which ends no sentence."""
+    before = F.rtrim(gap, F.lit(" \t"))
+    return F.when(before == "", first).when(F.endswith(before, F.lit("\n\n")) | F.endswith(before, F.lit("\n\r\n")), True).when(F.endswith(before, F.lit("\n")), False).otherwise(F.right(before, F.lit(1)).isin(".", "!", "?"))
 
 
 def alone(text: Column, value: Column) -> Column:
@@ -35,44 +35,50 @@ def entries(dictionary: DataFrame, kind: str, langs) -> DataFrame:
 
 
 def words(df: DataFrame, pattern: str) -> DataFrame:
-    text = clean(F.col("text"))
-    return df.select("doc_id", "text", F.explode(spans(text, pattern)).alias("m")).select("doc_id", "text", F.col("m.start").alias("start_pos"), F.col("m.end").alias("end_pos"), "m.value", F.lower("m.value").alias("form"))
+    """The matches of pattern, a row each: doc_id, start_pos, end_pos, value, form (lower-case), starts (a sentence begins there), only
+    (it is all of the text) and tail (what follows up to the end of the next match, at most WINDOW characters). No row has a text."""
+    rows = once(df.select("doc_id", "text"), pieces(clean(F.col("text")), pattern), "_p")
+    rows = once(rows, folded(F.col("_p")), "_m")
 
+    def word(m, i):
+        gap, following = rest_of(F.get("_p", i)), F.get("_p", i + 2)
+        behind = rest_of(F.get("_p", i + 1))
+        tail = F.substring(F.concat(behind, F.coalesce(value_of(following), F.lit(""))), 1, WINDOW)
+        only = F.when(F.size("_m") == 1, alone(F.col("text"), m["value"])).otherwise(False)
+        return F.struct(m["start"].alias("start_pos"), m["end"].alias("end_pos"), m["value"].alias("value"), F.lower(m["value"]).alias("form"), sentence_start(gap, i == 0).alias("starts"), only.alias("only"), tail.alias("tail"))
 
-def member(found: DataFrame, listed: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
-    """found whose form is listed, or of a single word one of whose lemmas is. Forms that need lemmas are looked up once each."""
-    exact = found.join(listed, F.col("form") == F.col("entry"), "left_semi")
+    return rows.select("doc_id", F.explode(F.transform("_m", word)).alias("w")).select("doc_id", "w.*")
+
+
+def forms(listed: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """(entry): the distinct forms that are listed, and the single words one of whose lemmas is. This is a dimension: it is made once
+    and sent to the words, which are many and stay where they are."""
     if lemmas is None:
-        return exact
-    rest = found.join(listed, F.col("form") == F.col("entry"), "left_anti").where(~F.contains("form", F.lit(" ")))
-    known = lemmas.join(listed, F.col("lemma") == F.col("entry"), "left_semi").select(F.lower("form").alias("_form")).distinct()
-    return exact.unionByName(rest.join(known, F.col("form") == F.col("_form"), "left_semi"))
+        return listed
+    known = lemmas.join(listed, F.col("lemma") == F.col("entry"), "left_semi").select(F.lower("form").alias("entry"))
+    return listed.unionByName(known.where(~F.contains("entry", F.lit(" ")))).distinct()
 
 
 def _plain(found: DataFrame, category: str) -> DataFrame:
     return found.select("doc_id", "start_pos", "end_pos", F.lit(category).alias("category"), "value")
 
 
-def _guarded(found: DataFrame) -> DataFrame:
-    return found.where(~sentence_start(F.col("text"), F.col("start_pos")) | alone(F.col("text"), F.col("value")))
-
-
 def cities(df: DataFrame, dictionary: DataFrame, langs=("pl",), lemmas: DataFrame | None = None) -> DataFrame:
     """One to three capitalised words that are listed as a whole; not where a sentence begins unless they are all of the text."""
-    return _plain(_guarded(member(words(df, CITY), entries(dictionary, "city", langs), lemmas)), "miasta")
+    listed = forms(entries(dictionary, "city", langs), lemmas)
+    found = words(df, CITY).where(~F.col("starts") | F.col("only"))
+    return _plain(found.join(F.broadcast(listed), F.col("form") == F.col("entry"), "left_semi"), "miasta")
 
 
 def persons(df: DataFrame, dictionary: DataFrame, langs=("pl",), lemmas: DataFrame | None = None) -> DataFrame:
-    """A listed first name with the capitalised word that follows within a few characters; and listed surnames by themselves."""
-    found = words(df, WORD)
-    names = entries(dictionary, "first_name", langs)
-    first = member(found, names, lemmas)
-    following = F.regexp_extract(F.substr("text", F.col("end_pos") + 1, F.lit(WINDOW)), NEXT, 0)
-    whole = first.withColumn("value", F.concat("value", following)).withColumn("end_pos", F.col("start_pos") + F.length("value"))
-    named = first.select(F.col("doc_id").alias("_d"), F.col("start_pos").alias("_s"))
-    rest = found.join(named, F.expr("doc_id <=> _d and start_pos = _s"), "left_anti")
-    last = _guarded(member(rest, entries(dictionary, "surname", langs), lemmas))
-    return _plain(whole, "imiona_nazwiska").unionByName(_plain(last, "imiona_nazwiska"))
+    """A listed first name with the capitalised word that follows within a few characters; and listed surnames by themselves, where
+    no sentence begins unless they are all of the text."""
+    of = lambda kind, first: forms(entries(dictionary, kind, langs), lemmas).withColumn("first", F.lit(first))
+    listed = of("first_name", True).unionByName(of("surname", False)).groupBy("entry").agg(F.max("first").alias("first"))
+    found = words(df, WORD).join(F.broadcast(listed), F.col("form") == F.col("entry")).where(F.col("first") | ~F.col("starts") | F.col("only"))
+    value = F.when(F.col("first"), F.concat("value", F.regexp_extract("tail", NEXT, 0))).otherwise(F.col("value"))
+    found = found.withColumn("value", value).withColumn("end_pos", F.col("start_pos") + F.length("value"))
+    return _plain(found, "imiona_nazwiska")
 
 
 #: Recognisers by dictionary, by category: each takes (df, dictionary, langs, lemmas).

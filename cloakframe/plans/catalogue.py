@@ -386,9 +386,8 @@ FROM (SELECT doc_id, i, regexp_replace(substr(text, 1, i), '[ \t]+$', '') AS p F
  WHERE regexp_matches(substr(text, i + 1, 1), '[A-ZŁŚŻŹĆŃÓĄĘ]') AND (i = 0 OR NOT regexp_matches(substr(text, i, 1), '[\\p{L}\\p{N}_]')))"""))
 def sentence_start_guard(spark, sf_dir):
     """Whether a sentence begins there, for each capital that begins a word of a text."""
-    places = F.transform(spans.spans(F.col("text"), rf"(?U)\b{lexicon.CAPITAL}"), lambda m: m["start"])
-    rows = dossier(spark, sf_dir).withColumn("place", F.explode(places))
-    return rows.select("doc_id", "place", lexicon.sentence_start(F.col("text"), F.col("place")).alias("starts"))
+    capitals = lexicon.words(dossier(spark, sf_dir), rf"(?U)\b{lexicon.CAPITAL}")
+    return capitals.select("doc_id", F.col("start_pos").alias("place"), "starts")
 
 
 @query("isolated_value", f"SELECT doc_id, value, true AS alone FROM ({_NAMES})")
