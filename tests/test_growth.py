@@ -26,6 +26,13 @@ def test_spans_and_texts_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan(catalogue.QUERIES[name](spark, SF))
 
 
+@pytest.mark.parametrize("name", ["number_per_case", "rewrite_text", "mapping_table"])
+def test_spans_of_a_case_are_found_once(spark, name):
+    df = catalogue.QUERIES[name](spark, SF)
+    df.collect()
+    assert plan(df).split("== Initial Plan")[0].count("Generate explode(aggregate") == 1
+
+
 @pytest.mark.parametrize("name", ["lexicon_surname", "lexicon_city", "lemma_lookup"])
 def test_words_stay_where_they_are(spark, name):
     """Only dictionaries are sent: words meet them by a broadcast join."""
