@@ -24,8 +24,8 @@ EMBED, FILTERS, WIDTHS = 4, 16, (2, 3, 4)
 DOCS_PER_LANG, WINDOWS_PER_DOC = 1000, 2
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UND = "und"
-#: with_language rejects a document whose likeliest language has less; at 0 only those without a language to tell.
-MIN_SCORE = 0.0
+#: with_language rejects a document whose likeliest language has less: less likely than not, whatever the number of languages.
+MIN_SCORE = 0.5
 
 
 def windows_of(buf: np.ndarray, offs: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
