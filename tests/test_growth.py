@@ -75,3 +75,13 @@ def test_larger_tables_make_more_tasks(spark, monkeypatch):
     d = catalogue.dossier(spark, SF)
     assert d.rdd.getNumPartitions() == -(-d.count() // 50) > spark.sparkContext.defaultParallelism
     assert "Exchange" not in plan(d.groupBy("doc_id").agg(F.count("*"))).replace("Exchange hashpartitioning(o_orderkey", "")
+
+
+def test_what_matches_begin_with_loses_none(spark):
+    """Against the same patterns without the class in front, with letters that fold to ASCII ones."""
+    odd = ["KRS 0000123456 Krs:1234567890", "nr ſprawy: A/1234, znak ſprawy: AB.12.24, ſygn. akt: II C 12/24", "tıktok.com/a TWİTTER.com/b @jan_1 X.COM/q", "+48 501 234 567 ١٢٣٤٥٦٧٨٩ \U0001d7cf\U0001d7d0-345", "FE80:0:0:0:0:0:0:1a 10.0.0.1", "PL 61 1090 1014 0000 0712 1981 2874", "Sąd rejonowy, ſąd okręgowy, URZĄD gminy", "HTTPS://a.b WWW.c", "a.b+c-d@e-f.pl @x.pl a@b.c.pl", "Aa-Bb Cc  Sp. z o.o. Dd S.A. Ee Ff GmbH", "WVWZZZ1JZXW123456 WVWZZZ1JZXW12345"]
+    texts = odd + [r.text for r in catalogue.dossier(spark, SF).limit(20).collect()]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in spans.RECOGNISERS:
+        plain = ("(?iU)" if r.folds_case else "(?U)") + r.pattern.replace("++", "+")
+        assert df.where(spans.spans(F.col("text"), r.java) != spans.spans(F.col("text"), plain)).count() == 0, r
