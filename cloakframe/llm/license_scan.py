@@ -2,9 +2,9 @@
 
 Units of a whole text are compared: every line, every block (lines up to a blank one, joined, so that wrapped notices are whole), and
 of a licence file all of it. Marks of comments before and behind a line don't count. Weights are tf * idf, idf from the number of texts
-that hold a term: those of the templates are collected, the others of the units to score are joined. A unit can reach the threshold
-only if it holds one of the terms without which no template keeps enough of its norm, so only such units are scored: the rest can't
-match.
+that hold a term: those of the templates are collected, the others of the units to score are joined. A unit's cosine to a template is
+at most the norm of the part of the template whose terms it holds. So only units whose terms can make up such a part are scored, and
+only texts that hold such terms are cut into units: the rest can't match.
 
 A directory has the licence of its best licence file. A file without its own takes that of the nearest ancestor that has one,
 found by joining its ancestors' paths with the directories.
@@ -147,17 +147,11 @@ def template_vectors(weights: dict[str, float], templates=TEMPLATES) -> list[dic
     return out
 
 
-def needed_terms(vectors: list[dict[str, float]], threshold: float) -> list[str]:
-    """Terms of which a line must hold one: without them each template's norm, and so any cosine, is below the threshold."""
-    out: set[str] = set()
-    for v in vectors:
-        rest = 1.0
-        for t, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
-            if math.sqrt(max(rest, 0)) < threshold:
-                break
-            out.add(t)
-            rest -= x * x
-    return sorted(out)
+def covered(terms: Column, vectors: list[dict[str, float]]) -> Column:
+    """At least the largest share of a template's squared norm that lies in terms: each counts by its largest share in any template."""
+    most = {t: max(v.get(t, 0.0) ** 2 for v in vectors) for t in sorted({t for v in vectors for t in v})}
+    share = F.create_map(*[F.lit(x) for p in most.items() for x in p])
+    return F.aggregate(F.array_intersect(terms, F.array(*map(F.lit, most))), F.lit(0.0), lambda sum_, t: sum_ + F.element_at(share, t))
 
 
 def units(path: Column, text: Column) -> Column:
@@ -173,11 +167,12 @@ def declared(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     spark = files.sparkSession
     weights, n = idf(files, templates)
     vectors = template_vectors(weights, templates)
-    needed = F.array(*[F.lit(t) for t in needed_terms(vectors, threshold)])
-    # A text without a needed term has no unit with one: it isn't cut.
-    some = files.where(F.arrays_overlap(terms(F.col("text")), needed))
+    # Less than the square by more than the scores are rounded.
+    least = threshold * threshold - 1e-6
+    # A text's terms are all that its units can hold: one with too few isn't cut.
+    some = files.where(covered(terms(F.col("text")), vectors) >= least)
     lines = some.select("path", F.posexplode(units(F.col("path"), F.col("text"))).alias("line_no", "line")).withColumn("terms", terms(F.col("line")))
-    lines = lines.where(F.arrays_overlap("terms", needed)).select("path", "line_no", F.explode("terms").alias("term"))
+    lines = lines.where(covered(F.col("terms"), vectors) >= least).select("path", "line_no", F.explode("terms").alias("term"))
     tf = lines.groupBy("path", "line_no", "term").agg(F.count("*").alias("tf"))
     # A row for each term of each template: as many as the templates have words.
     rows = [(t, weights[t], i, k, v[t]) for k, ((i, _), v) in enumerate(zip(templates, vectors)) for t in v]

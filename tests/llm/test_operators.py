@@ -166,6 +166,30 @@ def test_license_weighs_common_words_by_all_texts(spark, monkeypatch, limit):
     assert got == {300: ("Apache-2.0", pytest.approx(cosine(true.get), abs=1e-6))}
 
 
+def test_license_scores_only_units_that_can_match(spark, monkeypatch):
+    """Prose holds needed terms of the templates, but not enough of any template: no term of it is written."""
+    real, seen = license_scan.stored, {}
+
+    def keep(df, name):
+        seen[name] = real(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(license_scan, "stored", keep)
+    prose = "the use of a file or the work of any program may be subject to the list above"
+    rows = [(k, f"d/{k}", f"{prose} {k}\n\n{prose}\n{prose}") for k in range(40)] + [(99, "d/n", f"{prose}\nReleased under the MIT License.\n{prose}")]
+    files, read = spark.createDataFrame(rows, "doc_id long, path string, text string"), {}
+    monkeypatch.setattr(license_scan, "idf", lambda *a, f=license_scan.idf: read.setdefault("idf", f(*a)))
+    own = license_scan.declared(files)
+    assert [(r.path, r.own) for r in own.collect()] == [("d/n", "MIT")]
+    assert {(r.path, r.line_no) for r in seen["terms"].collect()} == {("d/n", 1), ("d/n", 3)}  # the line and the block that it is in
+    # The bound holds for every unit: what reaches the threshold by brute force is covered.
+    vectors = license_scan.template_vectors(read["idf"][0])
+    halves = [(" ".join(license_scan._python_terms(t)[::2]),) for _, t in license_scan.TEMPLATES]
+    for r in spark.createDataFrame(halves, "t string").select("t", license_scan.covered(license_scan.terms(F.col("t")), vectors).alias("c")).collect():
+        held = set(license_scan._python_terms(r.t))
+        assert r.c >= max(sum(x * x for t, x in v.items() if t in held) for v in vectors) - 1e-9
+
+
 def test_license_empty(spark, edge):
     got = {(r.doc_id, r.own, r.licence) for r in license_scan.scan(edge.withColumn("path", license_scan.path_of())).collect()}
     assert got == {(i, None, None) for i, *_ in EDGE} and len(EDGE) == license_scan.scan(edge.withColumn("path", license_scan.path_of())).count()
