@@ -16,7 +16,10 @@ and source are summed over the cluster.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -40,16 +43,39 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids of texts, by words: the tokenizer never joins across a space or a line feed, so each word is encoded once, all new
-    words of a block in one call with a mark between them."""
-
-    MARK = "§"
+    """Ids of texts, by words: the tokenizer never joins across a space or a line feed, so each word is encoded once. Where the
+    tokenizer's rules are STEPS, a word of SIMPLE characters is cut to PIECES here and each goes to the tokenizer's model; all
+    other new words of a block are encoded in one call with a mark between them."""
+
+    MARK = "~"
+    #: Rules under which the words of SIMPLE are cut to PIECES: lower case, composed, runs of letters or marks and single digits; the
+    #: apostrophe has rules of its own, and added tokens begin with <|.
+    STEPS = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "post_processor": None,
+    }
+    SIMPLE = re.compile("(?:[a-z0-9!-&(-;=-@\\[-`{-~\xdf-\xf6\xf8-\xff]++|<(?!\\|))++")
+    PIECES = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+    #: The characters that stand for the bytes of what isn't ASCII.
+    BYTES = {**{b: 162 + b for b in range(128, 161)}, 173: 323}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.simple = all(rules.get(k) == v for k, v in self.STEPS.items()) and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
+        self.simple = self.simple and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in rules["added_tokens"])
         self.known: dict[bytes, bytes] = {b"": b""}
         mark = self._ids(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
@@ -64,7 +90,24 @@ class Encoder:
         """A-Z in lower case, but where that could join a letter with a mark after it, or make a special token."""
         return text if not self.lowers or b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
 
+    def _piece(self, text: str) -> bytes:
+        """The ids of one of PIECES."""
+        raw = text.encode()
+        ids = self.known.get(raw)
+        if ids is None:
+            tokens = self.model.tokenize(text if text.isascii() else raw.decode("latin-1").translate(self.BYTES))
+            ids = self.known[raw] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return ids
+
     def _learn(self, words: set[bytes]) -> None:
+        if self.simple:
+            simple, pieces, piece, rest = self.SIMPLE.fullmatch, self.PIECES.findall, self._piece, set()
+            for raw in words:
+                if simple(w := raw.decode()):
+                    self.known[raw] = piece(w) if w.isalpha() else b"".join(map(piece, pieces(w)))
+                else:
+                    rest.add(raw)
+            words = rest
         known, ends = self.known, tuple(p.encode() for p, ok in self.parts.items() if ok)
         ended = {w for w in words if w.endswith(ends) and w[-2:-1].islower()} if ends else set()
         rest = (words - ended) | {w[:-1] for w in ended}
@@ -90,7 +133,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known = {b"": b""}
         known = self.known
-        if new := {w for words in split for w in words if w not in known}:
+        if new := set().union(*split).difference(known):
             self._learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 

@@ -561,6 +561,25 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_takes_plain_words_past_the_rules(spark):
+    """Words of small letters, digits and marks go to the tokenizer's model by pieces, with the same ids as the whole tokenizer's."""
+    from tokenizers import Tokenizer
+
+    encode, tokenizer = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").select("text").collect()
+    words = {w.encode() for r in docs for w in r.text.replace("\n", " ").split(" ")} | {"a<|endoftext|>".encode(), b"<<|x", b"<", b"a<b", b"x'd", b"a\tb", b"~~", b"1a2", "ñ́".encode(), "÷".encode(), "ªº".encode()}
+    words |= {chr(c).encode() for c in range(33, 0x250)} | {f"a{chr(c)}b{chr(c)}".encode() for c in range(33, 0x250)}
+    calls, real = [], encode._ids
+    encode._ids = lambda text: calls.append(text) or real(text)
+    encode._learn(set(words) - {b""})
+    for w in words:
+        assert np.frombuffer(encode.known[w], "<u4").tolist() == tokenizer.encode(w.decode(), add_special_tokens=False).ids, w
+    encode.all([b"plain words only, 12 of them. \xc3\xa9t\xc3\xa9!! a@b.c (x)"])
+    seen = len(calls)
+    encode.all([b"others, quite new: 345 tralala-lala \xc3\xa9t\xc3\xa9s?"])
+    assert len(calls) == seen
+
+
 # ------------------------------------------------------------------ 7
 def test_language_model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
