@@ -247,6 +247,25 @@ def test_jaccard_hot_shingles_in_blocks(spark, monkeypatch):
     assert got == jaccard_model(rows)
 
 
+def test_jaccard_compares_near_copies_with_one_centre(spark, monkeypatch):
+    """Near copies share shingles with many centres; those that one comparison joins aren't compared again."""
+    real, compared = jaccard_join._verified, []
+
+    def count(pairs, segments, percent):
+        compared.append(pairs.count())
+        return real(pairs, segments, percent)
+
+    monkeypatch.setattr(jaccard_join, "_verified", count)
+    rng = np.random.default_rng(3)
+    base, rows = [f"w{x}" for x in rng.integers(0, 10**6, 200)], []
+    for k in range(120):
+        at, w = int(rng.integers(0, 200)), list(base)
+        w[at] = f"z{rng.integers(0, 12)}"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_model(rows) and sum(compared) < len(rows), compared
+
+
 def test_jaccard_edges(spark, edge):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.ngram_jaccard_components(edge).collect()}
     assert {(1, 0, 1), (2, 0, 2), (5, 0, 5), (3, 2, 3), (None, None, None)} <= got
