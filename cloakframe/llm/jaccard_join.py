@@ -12,6 +12,8 @@
 5. Where a star leaves a shingle's documents in several components, the pairs between components are verified too;
    pairs inside a component can't change it. So no link between components is lost and a large group of near
    copies costs its size, not its square. A shingle of many such documents is dealt to blocks; each pair of blocks is a key of its own.
+   Of these pairs only those are counted whose bitmaps allow a link: a set's bitmap has the parity of its shingles at each place, so two
+   sets differ in as many shingles as their bitmaps in bits, at least. No link is lost by that.
 
 A 64-bit hash stands for a shingle; of it 48 bits are compared at least, 58 from 1024 buckets on. Sets are told apart by 128 bits.
 """
@@ -36,6 +38,8 @@ FRAGMENTS = 8
 #: Documents of one shingle that are paired with each other in one block.
 BLOCK = 1 << 14
 ID_BITS = 58
+#: Longs of a set's bitmap. Sets of more shingles than it has bits are hardly told apart by it, and counted.
+MAP = 16
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -255,6 +259,22 @@ def _apart(apart: DataFrame) -> DataFrame:
     return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
 
 
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(doc_id, m0, m1, ...): of each set the parity of its tokens at each of MAP * 64 places."""
+    token = sets.select("doc_id", F.explode("tokens").alias("token"))
+    bit, at = F.expr("shiftleft(1L, cast(token & 63 as int))"), F.expr(f"(token >> 6) & {MAP - 1}")
+    return token.select("doc_id", at.alias("at"), bit.alias("bit")).groupBy("doc_id").agg(*[F.coalesce(F.bit_xor(F.when(F.col("at") == k, F.col("bit"))), F.lit(0)).alias(f"m{k}") for k in range(MAP)])
+
+
+def _unlike() -> Column:
+    return sum((F.bit_count(F.col(f"m{k}a").bitwiseXOR(F.col(f"m{k}b"))) for k in range(1, MAP)), F.bit_count(F.col("m0a").bitwiseXOR(F.col("m0b"))))
+
+
+def _may_link(unlike: Column, percent: int) -> Column:
+    """Whether the bitmaps of a and b leave enough for a link: of sa + sb shingles those that differ are in one only."""
+    return (100 + int(percent)) * (F.col("sa") + F.col("sb") - unlike) >= 2 * int(percent) * (F.col("na") + F.col("nb"))
+
+
 def _members(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """(doc_id, row, n, first) of every row of docs (doc_id, row, text): first is the smallest (doc_id, row) of its component."""
     wanted = blocks_for(text_bytes(docs) // 6, PER_BUCKET)
@@ -292,12 +312,19 @@ def _members(docs: DataFrame, percent: int, width: int) -> DataFrame:
     apart = prefix.drop("o").join(of, "doc_id")
     apart = stored(_apart(apart), "apart")
     held = apart.select("doc_id", "token").distinct().groupBy("doc_id").agg(F.collect_list("token").alias("p"))
+    held = stored(held.join(_bitmaps(sets.join(held.select("doc_id"), "doc_id", "left_semi")), "doc_id"), "held")
     apart = apart.join(held, "doc_id")
-    named = lambda k: [F.col(c).alias(f"{n}{k}") for c, n in (("doc_id", "d"), ("n", "n"), ("s", "s"), ("p", "p"), ("component", "c"), ("block", "block_"))]
+    maps = [(f"m{k}", f"m{k}") for k in range(MAP)]
+    named = lambda k: [F.col(c).alias(f"{n}{k}") for c, n in (("doc_id", "d"), ("n", "n"), ("s", "s"), ("p", "p"), ("component", "c"), ("block", "block_"), *maps)]
     x, y = (apart.select("token", "i", "j", *named(k)) for k in "ab")
     # Two sets meet at the first token that their prefixes share, once.
-    once = F.expr("ca < cb and (i = j or block_a <> block_b)") & fits & (F.array_min(F.array_intersect("pa", "pb")) == F.col("token"))
-    pairs = x.join(y, ["token", "i", "j"]).where(once).select(F.col("da").alias("a"), F.col("db").alias("b"), "na", "nb")
+    once = F.expr("ca < cb and (i = j or block_a <> block_b)") & _may_link(_unlike(), percent) & fits & (F.array_min(F.array_intersect("pa", "pb")) == F.col("token"))
+    pairs = x.join(y, ["token", "i", "j"]).where(once).select(F.col("da").alias("a"), F.col("db").alias("b"), "na", "nb", _unlike().alias("unlike"))
+    pairs = stored(pairs, "pairs")
+    # Each document with the likeliest other first: what these join isn't compared again.
+    nearest = pairs.groupBy("b", "nb").agg(F.min(F.struct("unlike", "a", "na")).alias("first")).select("first.a", "b", "first.na", "nb")
+    links = links.unionByName(stored(_verified(nearest, segments, percent), "links"))
+    pairs = _between(pairs.drop("unlike").join(nearest.select("a", "b"), ["a", "b"], "left_anti"), components(links))
     grouped = components(links.unionByName(stored(_verified(pairs, segments, percent), "links")))
 
     whole = classes.join(grouped, "node", "left").select(*prints, "rep", F.coalesce("component", "node").alias("component"))

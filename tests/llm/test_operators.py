@@ -266,6 +266,28 @@ def test_jaccard_compares_near_copies_with_one_centre(spark, monkeypatch):
     assert got == jaccard_model(rows) and sum(compared) < len(rows), compared
 
 
+def test_jaccard_counts_no_pairs_that_bitmaps_tell_apart(spark, monkeypatch):
+    """Near copies that are similar to few others share shingles with all of them; pairs are planted among them."""
+    real, compared = jaccard_join._verified, []
+
+    def count(pairs, segments, percent):
+        compared.append(pairs.count())
+        return real(pairs, segments, percent)
+
+    monkeypatch.setattr(jaccard_join, "_verified", count)
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{x}" for x in rng.integers(0, 10**6, 200)], []
+    for k in range(160):
+        w = [x if rng.random() > 0.025 else f"z{rng.integers(0, 10**6)}" for x in base]
+        rows.append((k, " ".join(w)))
+        if k % 8 == 0:
+            rows.append((1000 + k, " ".join(w[:-1] + ["end"])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = jaccard_model(rows)
+    assert got == want and len({c for _, c in want.values()}) > 20
+    assert sum(compared) < 4 * len(rows), compared
+
+
 def test_jaccard_edges(spark, edge):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.ngram_jaccard_components(edge).collect()}
     assert {(1, 0, 1), (2, 0, 2), (5, 0, 5), (3, 2, 3), (None, None, None)} <= got
