@@ -73,9 +73,9 @@ def contexts_of(h: np.ndarray, tail: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def features_of(contexts: np.ndarray, leaf: np.ndarray, level: int, rows: int) -> np.ndarray:
-    """(KINDS, tokens) rows of a level's weight table: the context together with the outcomes above the level."""
+    """(KINDS, tokens) rows of a level's weight table: the context together with the outcomes above the level. rows is a power of two."""
     above = (leaf // WAYS ** (LEVELS - level) + WAYS**level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mix(contexts + above) % np.uint64(rows)).astype(np.uint16)
+    return (mix(contexts + above) & np.uint64(rows - 1)).astype(np.uint16)
 
 
 def outcome(leaf: np.ndarray, level: int) -> np.ndarray:
@@ -90,12 +90,14 @@ class Maxent:
         self.rows = self.w.shape[2]
 
     def probabilities(self, level: int, f: np.ndarray) -> np.ndarray:
-        s = self.w[level, 0][f[0]]
+        s = self.w[level, 0].take(f[0], axis=0)
+        part = np.empty_like(s)
         for k in range(1, KINDS):
-            s += self.w[level, k][f[k]]
-        s -= s.max(axis=1, keepdims=True)
+            s += self.w[level, k].take(f[k], axis=0, out=part, mode="clip")
+        if s.size and max(s.max(), -s.min()) > 60:  # else neither exponentials nor their sums leave the range
+            s -= s.max(axis=1, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(axis=1, keepdims=True)
+        s /= np.einsum("ij->i", s)[:, None]
         return s
 
     def log10(self, contexts: np.ndarray, leaf: np.ndarray) -> np.ndarray:
@@ -116,12 +118,14 @@ class Maxent:
                 f = features_of(x, y, level, self.rows)
                 g = self.probabilities(level, f)
                 g[np.arange(len(y)), outcome(y, level)] -= 1
+                flat = g.reshape(-1).astype(np.float64)
                 for k in range(KINDS):
-                    by = np.argsort(f[k], kind="stable")
-                    row = f[k][by]
-                    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                    d, row = np.add.reduceat(g[by], first, axis=0), row[first]
-                    p = power[level, k][row] + d * d
+                    # Only the rows that the batch has: their gradients are summed by place.
+                    has = np.bincount(f[k], minlength=self.rows) > 0
+                    row, place = np.flatnonzero(has), np.cumsum(has) - 1
+                    at = (place[f[k]] * WAYS)[:, None] + np.arange(WAYS)
+                    d = np.bincount(at.reshape(-1), flat, minlength=len(row) * WAYS).reshape(-1, WAYS).astype(np.float32)
+                    p = power[level, k].take(row, axis=0) + d * d
                     power[level, k][row] = p
                     self.w[level, k][row] -= RATE * d / np.sqrt(p + 1.0)
 

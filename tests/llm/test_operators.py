@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -664,6 +665,35 @@ def test_language_model_is_normalised_and_learns_by_its_gradient():
     assert model.log10(contexts, leaf).mean() > before + 0.3
 
 
+def test_language_model_steps_equal_sums_by_row_and_are_cheap():
+    rng = np.random.default_rng(2)
+    n, rows, ways = 4 * language_model.BATCH, language_model.ROWS, language_model.WAYS
+    contexts, leaf = rng.integers(0, 900, (language_model.KINDS, n)).astype(np.uint64), rng.integers(0, language_model.LEAVES, n)
+    fast, plain = language_model.Maxent(rows=rows), np.zeros((language_model.LEVELS, language_model.KINDS, rows, ways), np.float32)
+    power, sums, slow = np.zeros_like(plain), np.zeros_like(plain), 0.0
+    start = time.process_time()
+    fast.learn(contexts, leaf, power)
+    quick = time.process_time() - start
+    start = time.process_time()
+    for i in range(0, n, language_model.BATCH):
+        x, y = contexts[:, i : i + language_model.BATCH], leaf[i : i + language_model.BATCH]
+        for level in range(language_model.LEVELS):
+            f = language_model.features_of(x, y, level, rows)
+            z = sum(plain[level, k][f[k]] for k in range(language_model.KINDS))
+            g = np.exp(z - z.max(axis=1, keepdims=True))
+            g /= g.sum(axis=1, keepdims=True)
+            g[np.arange(len(y)), language_model.outcome(y, level)] -= 1
+            for k in range(language_model.KINDS):
+                by = np.argsort(f[k], kind="stable")
+                row, first = np.unique(f[k][by], return_index=True)
+                d = np.add.reduceat(g[by], first, axis=0)
+                sums[level, k][row] += d * d
+                plain[level, k][row] -= language_model.RATE * d / np.sqrt(sums[level, k][row] + 1.0)
+    slow = time.process_time() - start
+    assert np.allclose(fast.w, plain, atol=1e-4) and np.allclose(power, sums, rtol=1e-3, atol=1e-3)
+    assert quick < 0.85 * slow, (quick, slow)
+
+
 def test_language_model_scores_equal_brute_force(spark):
     """score by plain counts and the trained network's own probabilities."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
