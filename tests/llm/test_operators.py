@@ -393,6 +393,27 @@ def test_lines_of_a_hot_band_are_all_compared(spark, monkeypatch):
     assert got == set(range(300, 330)) and all(similar_lines(lines[10 * k], lines[300 + k]) for k in range(30))
 
 
+def test_lines_are_compared_with_one_centre_first(spark, monkeypatch):
+    """Near copies of a line share bands with many centres; those that one comparison joins aren't compared again."""
+    real, compared = line_dedup._similar, []
+
+    def count(pairs, *args):
+        compared.append(pairs.count())
+        return real(pairs, *args)
+
+    monkeypatch.setattr(line_dedup, "_similar", count)
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    base, lines = [word() for _ in range(40)], []
+    for _ in range(150):
+        w = list(base)
+        w[int(rng.integers(0, 40))] = word()
+        lines.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = [r.doc_id for r in line_dedup.line_components(df).where("kept").collect()]
+    assert kept == [0] and sum(compared) < 1.3 * len(lines), compared
+
+
 @pytest.mark.parametrize("shared", [22, 0])
 def test_line_dedup_finds_planted_pairs_and_no_others(spark, shared):
     """Pairs of a similarity from 0.8 on, among lines that share a template of so many of 30 words."""
