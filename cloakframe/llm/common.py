@@ -209,7 +209,7 @@ def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last = word.copy()
     last[:-1] &= ~word[1:] | cut[1:-1]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return a, b, np.searchsorted(offs, a, "right") - 1
+    return a, b, np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(a, offs)))
 
 
 # ------------------------------------------------------------------ components

@@ -89,7 +89,8 @@ class Maxent:
         self.w = np.zeros((LEVELS, KINDS, rows, WAYS), np.float32) if weights is None else weights
         self.rows = self.w.shape[2]
 
-    def probabilities(self, level: int, f: np.ndarray) -> np.ndarray:
+    def _exponentials(self, level: int, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token's outcomes, and their sums."""
         s = self.w[level, 0].take(f[0], axis=0)
         part = np.empty_like(s)
         for k in range(1, KINDS):
@@ -97,7 +98,11 @@ class Maxent:
         if s.size and max(s.max(), -s.min()) > 60:  # else neither exponentials nor their sums leave the range
             s -= s.max(axis=1, keepdims=True)
         np.exp(s, out=s)
-        s /= np.einsum("ij->i", s)[:, None]
+        return s, s @ np.ones(WAYS, np.float32)
+
+    def probabilities(self, level: int, f: np.ndarray) -> np.ndarray:
+        s, total = self._exponentials(level, f)
+        s /= total[:, None]
         return s
 
     def log10(self, contexts: np.ndarray, leaf: np.ndarray) -> np.ndarray:
@@ -106,8 +111,8 @@ class Maxent:
         for i in range(0, len(leaf), BATCH):
             x, y = contexts[:, i : i + BATCH], leaf[i : i + BATCH]
             for level in range(LEVELS):
-                p = self.probabilities(level, features_of(x, y, level, self.rows))
-                out[i : i + BATCH] += np.log10(np.maximum(p[np.arange(len(y)), outcome(y, level)], 1e-30))
+                s, total = self._exponentials(level, features_of(x, y, level, self.rows))
+                out[i : i + BATCH] += np.log10(np.maximum(s[np.arange(len(y)), outcome(y, level)] / total, 1e-30))
         return out
 
     def learn(self, contexts: np.ndarray, leaf: np.ndarray, power: np.ndarray) -> None:
@@ -118,16 +123,30 @@ class Maxent:
                 f = features_of(x, y, level, self.rows)
                 g = self.probabilities(level, f)
                 g[np.arange(len(y)), outcome(y, level)] -= 1
-                flat = g.reshape(-1).astype(np.float64)
+                # Outcomes two by two: a pair of sums is one complex number.
+                pairs = g.view(np.complex64).T.copy()
                 for k in range(KINDS):
-                    # Only the rows that the batch has: their gradients are summed by place.
-                    has = np.bincount(f[k], minlength=self.rows) > 0
-                    row, place = np.flatnonzero(has), np.cumsum(has) - 1
-                    at = (place[f[k]] * WAYS)[:, None] + np.arange(WAYS)
-                    d = np.bincount(at.reshape(-1), flat, minlength=len(row) * WAYS).reshape(-1, WAYS).astype(np.float32)
-                    p = power[level, k].take(row, axis=0) + d * d
-                    power[level, k][row] = p
-                    self.w[level, k][row] -= RATE * d / np.sqrt(p + 1.0)
+                    if k and self.rows <= BATCH:  # most of a small table's rows: it is cheaper as a whole
+                        row, place, n = slice(None), f[k].astype(np.intp), self.rows
+                    else:
+                        has = np.bincount(f[k], minlength=self.rows) > 0
+                        row, place = np.flatnonzero(has), (np.cumsum(has) - 1).take(f[k])
+                        n = len(row)
+                    if n == 1:
+                        d = g.sum(axis=0, keepdims=True)
+                    else:
+                        sums = np.zeros((WAYS // 2, n), np.complex64)
+                        for c in range(WAYS // 2):
+                            np.add.at(sums[c], place, pairs[c])
+                        d = sums.T.copy().view(np.float32)
+                    p = power[level, k][row]
+                    p += d * d
+                    if n < self.rows:
+                        power[level, k][row] = p
+                    step = np.sqrt(p + 1.0)
+                    d *= RATE
+                    d /= step
+                    self.w[level, k][row] -= d
 
 
 # ------------------------------------------------------------------ counts

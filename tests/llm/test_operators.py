@@ -715,6 +715,42 @@ def test_language_model_steps_equal_sums_by_row_and_are_cheap():
     assert quick < 0.85 * slow, (quick, slow)
 
 
+def test_language_model_steps_cost_less_than_flat_sums():
+    """A step of the same sums by one flat index over all outcomes, as they were before, takes longer; the sums are the same."""
+    rng = np.random.default_rng(3)
+    n, rows, ways = 16 * language_model.BATCH, language_model.ROWS, language_model.WAYS
+    contexts, leaf = rng.integers(0, 900, (language_model.KINDS, n)).astype(np.uint64), rng.integers(0, language_model.LEAVES, n)
+    contexts[0] = 0
+
+    def flat(model, power):
+        for i in range(0, n, language_model.BATCH):
+            x, y = contexts[:, i : i + language_model.BATCH], leaf[i : i + language_model.BATCH]
+            for level in range(language_model.LEVELS):
+                f = language_model.features_of(x, y, level, rows)
+                g = model.probabilities(level, f)
+                g[np.arange(len(y)), language_model.outcome(y, level)] -= 1
+                weights = g.reshape(-1).astype(np.float64)
+                for k in range(language_model.KINDS):
+                    has = np.bincount(f[k], minlength=rows) > 0
+                    row, place = np.flatnonzero(has), np.cumsum(has) - 1
+                    at = (place[f[k]] * ways)[:, None] + np.arange(ways)
+                    d = np.bincount(at.reshape(-1), weights, minlength=len(row) * ways).reshape(-1, ways).astype(np.float32)
+                    power[level, k][row] += d * d
+                    model.w[level, k][row] -= language_model.RATE * d / np.sqrt(power[level, k][row] + 1.0)
+
+    took = {}
+    for name, learn in (("now", lambda m, p: m.learn(contexts, leaf, p)), ("flat", flat)):
+        took[name] = 1e9
+        for _ in range(3):
+            model, power = language_model.Maxent(rows=rows), np.zeros((language_model.LEVELS, language_model.KINDS, rows, ways), np.float32)
+            start = time.process_time()
+            learn(model, power)
+            took[name] = min(took[name], time.process_time() - start)
+        took[f"{name} weights"] = model.w
+    assert np.allclose(took["now weights"], took["flat weights"], atol=1e-4)
+    assert took["now"] < 0.9 * took["flat"], took
+
+
 def test_language_model_scores_equal_brute_force(spark):
     """score by plain counts and the trained network's own probabilities."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
