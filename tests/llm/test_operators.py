@@ -12,6 +12,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -414,6 +415,48 @@ def test_lines_are_compared_with_one_centre_first(spark, monkeypatch):
     assert kept == [0] and sum(compared) < 1.3 * len(lines), compared
 
 
+def test_lines_that_bitmaps_tell_apart_are_not_compared(spark, monkeypatch):
+    """Copies of a line that are similar to it hardly and to each other not share many bands; few of their pairs are verified."""
+    real, compared = line_dedup._similar, []
+
+    def count(pairs, *args):
+        compared.append(pairs.count())
+        return real(pairs, *args)
+
+    monkeypatch.setattr(line_dedup, "_similar", count)
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    base, lines = [word() for _ in range(60)], []
+    for _ in range(120):
+        w = list(base)
+        for k in rng.permutation(60)[:4]:
+            w[int(k)] = word()
+        lines.append(" ".join(w))
+    links = [(a, b) for a, b in itertools.combinations(range(120), 2) if similar_lines(lines[a], lines[b])]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = {r.doc_id for r in line_dedup.line_components(df).where("kept").collect()}
+    print("COMPARED", compared, len(links), len(kept))
+    assert kept == set(union(range(120), links).values())
+    assert sum(compared) < 0.2 * 120 * 119 / 2, compared
+
+
+def test_bitmaps_of_lines_tell_no_similar_pair_apart():
+    rng = np.random.default_rng(7)
+    lines = ["a", "AB", "aaaaaaaaa", "aaaaaa", "今日はとても良い天気ですね"]
+    for _ in range(60):
+        x = "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(6, 3000))))
+        k = len(x) // 2
+        lines += [x, x[:k] + "#" + x[k:], x[:k] + "#" + x[k + 1 :] + "%"]
+    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(len(lines)), pa.int64()), "line": lines})
+    (got,) = [pa.Table.from_batches(list(line_dedup._mapped([batch])))]
+    n, maps = got.column("n").to_pylist(), np.stack([got.column(f"m{k}").to_numpy() for k in range(line_dedup.MAP)], axis=1)
+    sets = [full_shingles(x) for x in lines]
+    assert n == [len(x) for x in sets]
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        unlike = sum(int(x).bit_count() for x in (maps[a] ^ maps[b]).view(np.uint64))
+        assert unlike <= len(sets[a] ^ sets[b])
+
+
 @pytest.mark.parametrize("shared", [22, 0])
 def test_line_dedup_finds_planted_pairs_and_no_others(spark, shared):
     """Pairs of a similarity from 0.8 on, among lines that share a template of so many of 30 words."""
