@@ -440,6 +440,36 @@ def test_lines_that_bitmaps_tell_apart_are_not_compared(spark, monkeypatch):
     assert sum(compared) < 0.2 * 120 * 119 / 2, compared
 
 
+def test_pairs_across_components_of_a_band_are_found_once(spark, monkeypatch):
+    """The component of a band's centre meets the others only, in one pass; lines that are like some of its lines but not like the
+    centre join it, and so do unlike components that only another line connects."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    lines = [[word() for _ in range(60)] for _ in range(6)]
+    for k in range(6):
+        line = list(lines[k])
+        for i in range(12):  # a chain that leaves its first line
+            line = list(line)
+            line[4 * i] = word()
+            lines.append(line)
+    texts = [" ".join(w) for w in lines]
+    texts += [texts[0]] * 3
+    signed, across, calls = line_dedup.signatures, line_dedup._across, []
+    monkeypatch.setattr(line_dedup, "signatures", lambda x: signed(x).withColumn("bands", F.array(F.lit(1).cast("long"))))
+
+    def counted(*args):
+        calls.append(across(*args))
+        return calls[-1]
+
+    monkeypatch.setattr(line_dedup, "_across", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in line_dedup.line_components(df).where("kept").collect()}
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if texts[a] == texts[b] or similar_lines(texts[a], texts[b])]
+    assert kept == set(union(range(len(texts)), links).values()) == set(range(6))
+    assert len(calls) == 1
+
+
 def test_bitmaps_of_lines_tell_no_similar_pair_apart():
     rng = np.random.default_rng(7)
     lines = ["a", "AB", "aaaaaaaaa", "aaaaaa", "今日はとても良い天気ですね"]
