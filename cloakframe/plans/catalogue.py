@@ -228,8 +228,10 @@ def resolve_overlaps(spark, sf_dir):
 
 @query("number_per_document", f"{_BY_DOC} SELECT doc_id, s AS start_pos, category, value, number, token AS placeholder FROM z")
 def number_per_document(spark, sf_dir):
-    named = numbering.placeholders(numbering.number(_found(spark, sf_dir)))
-    return named.select("doc_id", "start_pos", "category", "value", "number", "placeholder")
+    """A document is a row, so its matches are numbered where they are found and none is exchanged."""
+    rows = spans.once(dossier(spark, sf_dir).select("doc_id", "text"), spans.found_in(F.col("text"), CODES), "_m")
+    named = numbering.number_rows(rows).select("doc_id", F.explode("_z").alias("z"))
+    return named.select("doc_id", "z.start_pos", "z.category", "z.value", "z.number", "z.placeholder")
 
 
 @query("number_per_case", f"{_BY_CASE} SELECT case_id, doc_id, s AS start_pos, category, value, number, token AS placeholder FROM z")

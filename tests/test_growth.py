@@ -33,6 +33,10 @@ def test_spans_of_a_case_are_found_once(spark, name):
     assert plan(df).split("== Initial Plan")[0].count("Generate explode(aggregate") == 1
 
 
+def test_spans_of_a_document_are_not_exchanged(spark):
+    assert re.findall(r"Exchange \w+\(\w+", plan(catalogue.QUERIES["number_per_document"](spark, SF))) == ["Exchange hashpartitioning(o_orderkey"]
+
+
 @pytest.mark.parametrize("name", ["lexicon_surname", "lexicon_city", "lemma_lookup"])
 def test_words_stay_where_they_are(spark, name):
     """Only dictionaries are sent: words meet them by a broadcast join."""
